@@ -18,6 +18,9 @@ from . import lexicon as lx
 WS = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WORD = r"\p{L}\p{N}_"
+# the same set as literal characters, for character-set trims
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
 
 URL_RE = rf"https?://[^{WS}]+|www\.[^{WS}]+"
 MENTION_RE = rf"@[{WORD}]+"
@@ -44,8 +47,9 @@ def lower(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()``: trims Unicode whitespace on both ends."""
-    return F.regexp_replace(_c(c), EDGE_SPACE_RE, "")
+    """Python ``str.strip()``: trims Unicode whitespace on both ends
+    (a character-set trim: two linear scans, no regex)."""
+    return F.btrim(_c(c), F.lit(WS_CHARS))
 
 
 def strip_urls(c) -> Column:

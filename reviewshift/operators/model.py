@@ -34,23 +34,33 @@ def doc_tokens(df: DataFrame, doc_keys: list[str], text: str = "review_text_clea
     return ex.groupBy(*doc_keys, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def nb_token_counts(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
+                    text: str = "review_text_clean", label: str = "sentiment_label") -> DataFrame:
+    """(keys..., token, n0, n1, n2): per-class token counts in ONE shuffle —
+    the three counts are combined map-side, so a token that occurs in a
+    third of all reviews still reaches the reducer as one row per task."""
+    k = list(keys)
+    t = train.select(*k, _label_id(label).alias("label_id"),
+                     F.explode(tx.tokens(text)).alias("token"))
+    return t.groupBy(*k, "token").agg(
+        *[F.count_if(F.col("label_id") == i).alias(f"n{i}") for i in range(N_CLASSES)])
+
+
 def nb_train(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
              text: str = "review_text_clean", label: str = "sentiment_label",
-             alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+             alpha: float = 1.0, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """per model key, loglik(c,t) = ln((n_ct + a) / (n_c + a|V|)) and
-    prior(c) = ln(docs_c / docs). Returns (token_table, prior_table)."""
+    prior(c) = ln(docs_c / docs). Returns (token_table, prior_table).
+
+    ``counts`` may be a materialised ``nb_token_counts`` table; the class
+    totals and |V| are then one small aggregate over it.
+    """
     k = list(keys)
-    t = train.select(*k, _label_id(label).alias("label_id"),
-                     F.explode(tx.tokens(text)).alias("token"))
-    n_ct = t.groupBy(*k, "token", "label_id").agg(F.count(F.lit(1)).alias("n_ct"))
-    per_token = n_ct.groupBy(*k, "token").agg(
-        *[F.sum(F.when(F.col("label_id") == i, F.col("n_ct")).otherwise(0)).alias(f"n{i}")
-          for i in range(N_CLASSES)])
-    # small per-model tables: class token totals and vocabulary size
-    totals = n_ct.groupBy(*k).agg(
-        *[F.sum(F.when(F.col("label_id") == i, F.col("n_ct")).otherwise(0)).alias(f"t{i}")
-          for i in range(N_CLASSES)],
-        F.countDistinct("token").alias("v"))
+    per_token = counts if counts is not None else nb_token_counts(train, keys, text, label)
+    # one row per model: class token totals and vocabulary size
+    totals = per_token.groupBy(*k).agg(
+        *[F.sum(f"n{i}").alias(f"t{i}") for i in range(N_CLASSES)],
+        F.count(F.lit(1)).alias("v"))
     model = per_token.join(F.broadcast(totals), k).select(
         *k, "token",
         F.array(*[F.log((F.col(f"n{i}") + alpha) / (F.col(f"t{i}") + alpha * F.col("v")))
@@ -64,7 +74,8 @@ def nb_train(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
 
 
 def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Size check for a table we want to broadcast (one count action)."""
+    """Size check for a table we want to broadcast (one count action;
+    cheap when ``df`` is a materialised model table)."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
@@ -73,14 +84,23 @@ def nb_score(test: DataFrame, model: DataFrame, priors: DataFrame, doc_keys: lis
              max_broadcast_rows: int = BROADCAST_MODEL_ROWS) -> DataFrame:
     """score every test document with every model of its condition.
 
-    Output: doc keys, train_src, scores array<double> (rounded to 6 so that
-    summation order cannot flip a tie) and pred (argmax, lowest id on ties).
+    Broadcast path (model table within the checked row bound): tokens are
+    joined map-side and summed per document, one small shuffle.
+    Shuffle path (larger model): (doc, token) counts are aggregated first,
+    then joined on (condition, token); AQE splits skewed token keys.
+    Output: doc keys, condition, train_src, scores array<double> (rounded
+    to 6 so summation order cannot flip a tie) and pred (argmax, lowest
+    class id on ties).
     """
     m = model.withColumnRenamed("source_platform", model_platform)
     p = priors.withColumnRenamed("source_platform", model_platform)
-    toks = doc_tokens(test, doc_keys + ["condition"], text)
-    m_side = F.broadcast(m) if _fits_broadcast(m, max_broadcast_rows) else m
-    hit = toks.join(m_side, ["condition", "token"])
+    if _fits_broadcast(m, max_broadcast_rows):
+        toks = test.select(*doc_keys, "condition", F.explode(tx.tokens(text)).alias("token"),
+                           F.lit(1).alias("cnt"))
+        hit = toks.join(F.broadcast(m), ["condition", "token"])
+    else:
+        toks = doc_tokens(test, doc_keys + ["condition"], text)
+        hit = toks.join(m, ["condition", "token"])
     sums = hit.groupBy(*doc_keys, "condition", model_platform).agg(
         *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
     # every (doc, model of the same condition), also docs with no known token;

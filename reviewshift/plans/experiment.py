@@ -7,27 +7,41 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..operators import curate, metrics, model, splits
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 
 DOC_KEYS = ["source_seq", "row_seq"]
 GRID = ["train_src", "test_src", "condition"]
 
 
-def master(spark: SparkSession, sf_dir: str, mode: str = "multi") -> DataFrame:
-    """3.1: conform -> denoise -> dedup -> label -> downsample."""
+def master(spark: SparkSession, sf_dir: str, mode: str = "multi",
+           materialize: bool = True) -> DataFrame:
+    """3.1: conform -> denoise -> dedup -> label -> downsample.
+
+    The labelled, deduplicated table is read twice by the downsampling
+    (class sizes, ranks), so it is checkpointed first; the study writes
+    its master table to storage at this point as well.
+    """
     raw = fx.raw_reviews(spark, sf_dir)
-    return curate.build_master([curate.conform_platform(raw)], mode)
+    df = curate.union_platforms([curate.conform_platform(raw)])
+    df = curate.with_label(curate.dedup_first(curate.filter_noise(df, mode)))
+    if materialize:
+        df = cut_lineage(df)
+    return curate.downsample_to_median(df) if mode == "multi" else df
 
 
-def cleaned(spark: SparkSession, sf_dir: str, stoplist=None) -> DataFrame:
+def cleaned(spark: SparkSession, sf_dir: str, stoplist=None, materialize: bool = True) -> DataFrame:
     """Both cleaning paths of the master table, in the split schema (+ keys)."""
-    m = master(spark, sf_dir)
-    return splits.split_projection(splits.dual_path_clean(m, stoplist=stoplist))
+    m = master(spark, sf_dir, materialize=materialize)
+    c = splits.split_projection(splits.dual_path_clean(m, stoplist=stoplist))
+    return cut_lineage(c) if materialize else c
 
 
-def experiment_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """3.2: the 12 split tables as one frame keyed by platform/condition/split."""
-    return splits.stratified_split(cleaned(spark, sf_dir))
+def experiment_splits(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """3.2: the 12 split tables as one frame keyed by platform/condition/split,
+    checkpointed: training and every test set read it again."""
+    s = splits.stratified_split(cleaned(spark, sf_dir, materialize=materialize))
+    return cut_lineage(s) if materialize else s
 
 
 def loso_predictions(spark: SparkSession, sf_dir: str, split_df: DataFrame | None = None) -> DataFrame:
@@ -36,6 +50,7 @@ def loso_predictions(spark: SparkSession, sf_dir: str, split_df: DataFrame | Non
     train = s.filter(F.col("split") == "train")
     test = s.filter(F.col("split") == "test")
     tok_model, priors = model.nb_train(train)
+    tok_model, priors = cut_lineage(tok_model), cut_lineage(priors)
     scored = model.nb_score(test, tok_model, priors, DOC_KEYS)
     truth = test.select(*DOC_KEYS, "condition", F.col("source_platform").alias("test_src"),
                         model._label_id().alias("label_id"))

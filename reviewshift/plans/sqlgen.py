@@ -29,7 +29,7 @@ def with_(ctes: list[tuple[str, str]], final: str) -> str:
 # --- scalar fragments ---------------------------------------------------------
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q(tx.EDGE_SPACE_RE)}, '', 'g')"
+    return f"trim({x}, {q(tx.WS_CHARS)})"
 
 
 def emoji_out(x: str, repl: str = " ") -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +56,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint dir
+    and continue from it.
+
+    One write job (``Dataset.checkpoint`` computes the plan twice: once to
+    count, once to save), a fresh short lineage that survives executor
+    loss, and file statistics that size-based join planning can use.
+    """
+    base = checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition a scan that yields fewer partitions than cores.
+
+    A single-row-group file is one input split, which would run all
+    per-row text work in one task. A wide scan (the cluster case: one
+    split per block) is returned untouched, so no extra shuffle is added.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, *keys) if keys else df.repartition(n)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -35,7 +37,7 @@ def _decorate(doc_id, text):
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_id, review_text, rating, product_name, reviewer_name, source_platform."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("review_id"),
         _decorate("doc_id", "text").alias("review_text"),
