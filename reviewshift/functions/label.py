@@ -34,7 +34,7 @@ def keyword_hits(text, keywords: tuple[str, ...] = lx.NEGATIVE_KEYWORDS) -> Colu
     """M3: the keywords found in the text, in list order."""
     low = F.lower(F.coalesce(_c(text), F.lit("")))
     arr = F.array(*[F.lit(k) for k in keywords])
-    return F.filter(arr, lambda k: F.locate(k, low) > 0)
+    return F.filter(arr, lambda k: low.contains(k))
 
 
 def encode_label(label) -> Column:

@@ -20,15 +20,7 @@ from ..sources import fixtures as fx
 from . import experiment as ex
 from . import sqlgen as sg
 
-Q = Callable[[SparkSession, str], DataFrame]
-REGISTRY: dict[str, tuple[Q, str | None]] = {}
-
-
-def register(key: str, sql: str | None = None):
-    def deco(fn: Q) -> Q:
-        REGISTRY[key] = (fn, sql)
-        return fn
-    return deco
+from .registry import REGISTRY, Q, register
 
 
 W = sg.with_
@@ -79,6 +71,9 @@ FROM (""" + sg.scores_select("train_src, test_src, condition") + ")"))(
     lambda spark, sf: ex.loso_matrix(spark, sf))
 
 
+from . import q_text, q_shift, q_eval, q_sources, q_stream  # noqa: E402,F401  (register more keys)
+
+
 def queries() -> dict[str, Q]:
     return {k: fn for k, (fn, _) in REGISTRY.items()}
 

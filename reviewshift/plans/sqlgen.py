@@ -175,6 +175,26 @@ SELECT * EXCLUDE (_pre), 'proposed' AS condition, {suffix(slang('_pre', lexicon,
     ]
 
 
+def prefix_ctes(src: str, text: str, out: str) -> list[tuple[str, str]]:
+    """CTEs ending in ``out`` = ``src`` plus ``_pre`` (T1..T7 of ``text``)."""
+    return [
+        (f"{out}_h", f"SELECT *, string_split({prefix_head(text)}, '') AS _ch FROM {src}"),
+        (out, f"SELECT * EXCLUDE (_ch), {squeeze_punct(collapse_runs_from_chars('_ch'))} AS _pre "
+              f"FROM {out}_h"),
+    ]
+
+
+def clean_text_expr(normalize: bool, pre: str = "_pre") -> str:
+    """T12 from the shared prefix column."""
+    return suffix(slang(pre)) if normalize else suffix(pre)
+
+
+def pipeline_expr(raw: str, cleaned: str) -> str:
+    """Null unless P2(raw) and >= MIN_TOKEN_COUNT tokens."""
+    return (f"CASE WHEN {is_meaningful(raw)} AND {token_count(cleaned)} >= {lx.MIN_TOKEN_COUNT} "
+            f"THEN {cleaned} END")
+
+
 def approx_mode_sql(src: str, part: str, n_col: str, draws: str, out: str) -> str:
     return f"""
 SELECT * EXCLUDE (_tot, _fl, _rem, _need, _rk), _fl + CASE WHEN _rk <= _need THEN 1 ELSE 0 END AS {out}
