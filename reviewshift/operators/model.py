@@ -118,9 +118,47 @@ def argmax(arr) -> "F.Column":
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")
 
 
-def softmax(arr, digits: int = 4):
+def softmax(arr, digits: int | None = 4):
     """Class probabilities exp(x - max) / sum, rounded like the service does."""
     mx = F.array_max(arr)
     ex = F.transform(arr, lambda x: F.exp(x - mx))
     tot = F.aggregate(ex, F.lit(0.0), lambda a, b: a + b)
+    if digits is None:
+        return F.transform(ex, lambda x: x / tot)
     return F.transform(ex, lambda x: F.round(x / tot, digits))
+
+
+def fallback_clean_paths(df: DataFrame, key: list[str], text: str = "review_text",
+                         conditions: tuple[str, ...] = lx.CONDITIONS) -> DataFrame:
+    """T14 for every condition in one scan: (key..., condition, review_text_clean)
+    where a rejected text falls back to lower+strip (the scoring service rule)."""
+    pre = df.select(*key, text, tx.clean_prefix(text).alias("_pre"))
+    branches = {"baseline": tx.clean_suffix("_pre"),
+                "proposed": tx.clean_suffix(tx.normalize_slang("_pre"))}
+    paths = F.array(*[F.struct(F.lit(c).alias("condition"), branches[c].alias("_c")) for c in conditions])
+    ex = pre.select(*key, text, F.explode(paths).alias("_p"))
+    piped = tx.finish_pipeline(F.col(text), F.col("_p._c"))
+    clean = F.when(F.coalesce(piped, F.lit("")) == "", tx.strip(F.lower(F.col(text)))).otherwise(piped)
+    return ex.select(*key, F.col("_p.condition").alias("condition"), clean.alias("review_text_clean"))
+
+
+def score_reviews(df: DataFrame, model: DataFrame, priors: DataFrame, key: list[str],
+                  text: str = "review_text", digits: int = 4) -> DataFrame:
+    """every review scored by every model of the matching condition:
+    sentiment, confidence, class probabilities (softmax, rounded), the
+    cleaned text and the model name."""
+    cleaned = fallback_clean_paths(df, key, text)
+    scored = nb_score(cleaned, model, priors, key)
+    probs = softmax(F.col("scores"), digits=None)
+    out = scored.join(cleaned, key + ["condition"]).select(
+        *key, "train_src", "condition", "pred", probs.alias("_p"), "review_text_clean")
+    names = [c.lower() for c in lx.CLASS_NAMES]
+    label = F.element_at(F.array(*[F.lit(c) for c in lx.CLASS_NAMES]), F.col("pred") + 1)
+    model_name = F.concat(F.lit("NaiveBayes trained on "), F.initcap("train_src"), F.lit(" ["),
+                          F.when(F.col("condition") == "proposed", F.lit("Proposed (Slang Norm)"))
+                          .otherwise(F.lit("Baseline (No Norm)")), F.lit("]"))
+    return out.select(
+        *key, "train_src", "condition", label.alias("sentiment"),
+        F.round(F.element_at("_p", F.col("pred") + 1), digits).alias("confidence"),
+        *[F.round(F.col("_p")[i], digits).alias(f"p_{n}") for i, n in enumerate(names)],
+        F.col("review_text_clean").alias("cleaned_text"), model_name.alias("active_model"))

@@ -311,3 +311,55 @@ def scores_select(group: str, src: str = "cells") -> str:
     return (f"SELECT {group}, CAST({n} AS BIGINT) AS n, round((c00 + c11 + c22) / ({n}), 6) AS accuracy, "
             f"round({macro}, 6) AS f1_macro, round({f1[0]}, 6) AS f1_negatif, "
             f"round({f1[1]}, 6) AS f1_netral, round({f1[2]}, 6) AS f1_positif FROM {src}")
+
+
+def loso_ctes() -> list[tuple[str, str]]:
+    """... -> CTE ``loso``: title-cased grid rows with n, accuracy, F1s, eval_type;
+    ``cells`` keeps the lower-case confusion counts."""
+    inner = scores_select("train_src, test_src, condition")
+    return experiment_ctes() + nb_ctes() + [cells_cte(), ("loso", f"""
+SELECT {initcap('train_src')} AS train_src, {initcap('test_src')} AS test_src,
+       {initcap('condition')} AS condition, n, accuracy, f1_macro, f1_negatif, f1_netral, f1_positif,
+       CASE WHEN train_src = test_src THEN 'In-Domain' ELSE 'Cross-Platform' END AS eval_type
+FROM ({inner})""")]
+
+
+def cells_long_select(src: str = "cells") -> str:
+    """The 9 confusion cells as rows (title-cased grid keys)."""
+    parts = [f"SELECT {initcap('train_src')} AS train_src, {initcap('test_src')} AS test_src, "
+             f"{initcap('condition')} AS condition, {i} AS label_id, {j} AS pred_id, c{i}{j} AS n FROM {src}"
+             for i in range(3) for j in range(3)]
+    return " UNION ALL ".join(parts)
+
+
+def fallback_expr(raw: str, cleaned: str) -> str:
+    """The pipeline result, or lower+strip of the raw text when rejected."""
+    pipe = pipeline_expr(raw, cleaned)
+    return f"CASE WHEN coalesce({pipe}, '') = '' THEN {strip(f'lower({raw})')} ELSE {pipe} END"
+
+
+def score_ctes(src: str = "reviews", key: str = "review_id", text: str = "review_text") -> list[tuple[str, str]]:
+    """F7 over ``src`` with the models of ``nb_ctes`` -> CTE ``rscore``
+    (key, train_src, condition, sc0..sc2, pred, cleaned)."""
+    return prefix_ctes(src, text, "rpre") + [
+        ("rclean", f"""
+SELECT {key}, 'baseline' AS condition, {fallback_expr(text, clean_text_expr(False))} AS cleaned FROM rpre
+UNION ALL
+SELECT {key}, 'proposed' AS condition, {fallback_expr(text, clean_text_expr(True))} AS cleaned FROM rpre"""),
+        ("rtok", f"SELECT {key}, condition, unnest({tokens('cleaned')}) AS token FROM rclean"),
+        ("rsums", f"""
+SELECT {key}, t.condition, m.train_src, sum(ll0) AS s0, sum(ll1) AS s1, sum(ll2) AS s2
+FROM rtok t JOIN mdl m ON t.condition = m.condition AND t.token = m.token GROUP BY ALL"""),
+        ("rsc", f"""
+SELECT c.{key}, c.condition, p.train_src, c.cleaned,
+       round(p.p0 + coalesce(s.s0, 0), 6) AS sc0, round(p.p1 + coalesce(s.s1, 0), 6) AS sc1,
+       round(p.p2 + coalesce(s.s2, 0), 6) AS sc2
+FROM rclean c JOIN pri p ON c.condition = p.condition
+LEFT JOIN rsums s ON s.{key} = c.{key} AND s.condition = c.condition AND s.train_src = p.train_src"""),
+        ("rscore", """
+SELECT *, CASE WHEN sc0 >= sc1 AND sc0 >= sc2 THEN 0 WHEN sc1 >= sc2 THEN 1 ELSE 2 END AS pred,
+       greatest(sc0, sc1, sc2) AS _mx,
+       exp(sc0 - greatest(sc0, sc1, sc2)) + exp(sc1 - greatest(sc0, sc1, sc2))
+         + exp(sc2 - greatest(sc0, sc1, sc2)) AS _z
+FROM rsc"""),
+    ]
