@@ -115,3 +115,93 @@ SELECT d.doc_id, d.text,
        CASE WHEN d.doc_id % 2 = 0 THEN 'tokopedia' ELSE 'shopee' END AS source_platform
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id
 """
+
+
+# --- landed review pages (JSON) and shop pages (HTML) built from the tables ---------
+
+def landed_pages(spark: SparkSession, sf_dir: str, page_size: int = 50) -> DataFrame:
+    """Review pages as a crawler lands them: one record per (shop, requested
+    rating, page) with the nested response; shop = product_name. Some items
+    lack a product / rating / reviewer, some pages have no data envelope."""
+    from ..operators.ranking import hash_rank
+    r = reviews(spark, sf_dir).withColumn("_k", F.lpad(F.col("review_id").cast("string"), 20, "0"))
+    rk = hash_rank(r, ["product_name", "rating"], "_k", ["review_id"], out="rk").drop("_k")
+    rk = rk.withColumn("page", ((F.col("rk") - 1) / page_size).cast("long") + 1)
+    rid = F.col("review_id")
+    item = F.struct(
+        rid.cast("string").alias("id"),
+        F.when(rid % 5 == 0, None).otherwise(F.struct(
+            F.concat(F.lit("p"), (rid % 50).cast("string")).alias("productID"),
+            F.col("product_name").alias("productName"),
+            F.concat(F.lit("https://shop.example/"), F.col("product_name")).alias("productPageURL"))).alias("product"),
+        F.when(rid % 4 == 0, None).otherwise(F.col("rating")).alias("rating"),
+        F.concat(F.lit("2024-01-"), F.lpad((rid % 28 + 1).cast("string"), 2, "0")).alias("reviewTime"),
+        F.col("review_text").alias("reviewText"),
+        F.concat(F.lit("r"), rid.cast("string")).alias("reviewerID"),
+        F.when(rid % 3 == 0, None).otherwise(F.col("reviewer_name")).alias("reviewerName"))
+    # a page holds at most page_size items
+    pages = rk.groupBy(F.col("product_name").alias("shop"), F.col("rating").alias("requested_rating"), "page") \
+        .agg(F.array_sort(F.collect_list(F.struct(rid.alias("o"), item.alias("it")))).alias("_l"))
+    last = pages.groupBy("shop", "requested_rating").agg(F.max("page").alias("_last"),
+                                                         F.sum(F.size("_l")).alias("_tot"))
+    pages = pages.join(last, ["shop", "requested_rating"])
+    body = F.struct(F.transform("_l", lambda x: x["it"]).alias("list"),
+                    (F.col("page") < F.col("_last")).alias("hasNext"), F.col("shop").alias("shopName"),
+                    F.col("_tot").cast("long").alias("totalReviews"))
+    data = F.when((F.col("page") + F.col("requested_rating")) % 7 == 3, None) \
+        .otherwise(F.struct(body.alias("productrevGetShopReviewReadingList")))
+    return pages.select("shop", "requested_rating", "page", F.struct(data.alias("data")).alias("response"))
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with shop ids embedded in the three forms a shop page uses."""
+    p = table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    add = (F.when(pid % 3 == 0, F.concat(F.lit('<script>{"shopID":"'), (pid * 7 + 100).cast("string"),
+                                         F.lit('"}</script>')))
+           .when(pid % 3 == 1, F.concat(F.lit('<script>ShopPageGetHeaderLayout({\\"shopID\\":\\"'),
+                                        (pid + 5000).cast("string"), F.lit('\\"})</script>')))
+           .otherwise(F.lit("")))
+    add2 = F.when(pid % 5 == 2, F.concat(F.lit(" productrevGetShopReviewReadingList(shopID: 9"),
+                                         pid.cast("string"), F.lit(")"))).otherwise(F.lit(""))
+    return p.select("page_id", "url", F.concat(F.col("html"), add, add2).alias("html"))
+
+
+SHOP_PAGES_SQL = """
+SELECT page_id, url, concat(html,
+  CASE WHEN page_id % 3 = 0 THEN concat('<script>{"shopID":"', CAST(page_id * 7 + 100 AS VARCHAR), '"}</script>')
+       WHEN page_id % 3 = 1 THEN concat('<script>ShopPageGetHeaderLayout({\\"shopID\\":\\"',
+                                        CAST(page_id + 5000 AS VARCHAR), '\\"})</script>')
+       ELSE '' END,
+  CASE WHEN page_id % 5 = 2 THEN concat(' productrevGetShopReviewReadingList(shopID: 9', CAST(page_id AS VARCHAR), ')')
+       ELSE '' END) AS html
+FROM pages"""
+
+
+def appstore_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """App-store shaped rows: content, score, at (some unparsable), userName."""
+    d = table(spark, sf_dir, "documents")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts", "user_id")
+    j = d.join(e, "doc_id", "left")
+    return j.select(F.col("text").alias("content"), (F.col("doc_id") % 5 + 1).cast("int").alias("score"),
+                    F.when(F.col("doc_id") % 9 == 0, F.lit("not a date"))
+                    .otherwise(F.col("ts").cast("string")).alias("at"),
+                    F.when(F.col("doc_id") % 13 == 0, None)
+                    .otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("userName"),
+                    F.col("doc_id").alias("row_seq"))
+
+
+def binary_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    return d.join(lab, "doc_id", "left").select(F.col("text").alias("reviews"),
+                                                F.col("quality").cast("double").alias("label"),
+                                                F.col("doc_id").alias("row_seq"))
+
+
+def product_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("text").alias("comment"), (F.col("turn") % 5 + 1).cast("int").alias("rating"),
+                    F.when(F.col("role") == "user", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+                    .alias("username"),
+                    (F.col("conv_id") * 1000 + F.col("turn")).alias("row_seq"))
