@@ -67,7 +67,8 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # small stage outputs pack into one input split; keep every core busy
+    return spread(df.sparkSession.read.parquet(path))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
