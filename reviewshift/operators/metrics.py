@@ -115,3 +115,32 @@ def weighted_log_loss(df: DataFrame, group: list[str], probs: str = "probs", lab
     p_true = F.element_at(F.col(probs), F.col(label) + 1)
     return df.groupBy(*group).agg(
         F.round(F.sum(F.col(weight) * -F.log(p_true)) / F.sum(weight), 6).alias("weighted_log_loss"))
+
+
+def best_round(curve: DataFrame, group: list[str], round_col: str = "round", metric: str = "f1_macro",
+               patience: int = lx.EARLY_STOP_PATIENCE, extra: tuple[str, ...] = ("alpha",)) -> DataFrame:
+    """Early stopping over a (group..., round, metric) table. A round
+    improves when its metric beats every earlier one; training stops at the
+    first round that is ``patience`` rounds past the last improvement; the
+    best round is the last improving one up to there.
+
+    Rounds per group are few (one row per training round), so the windows
+    here sort a handful of rows per group.
+    """
+    w = Window.partitionBy(*group).orderBy(round_col)
+    prev = F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    c = curve.withColumn("_i", F.row_number().over(w)) \
+        .withColumn("_imp", prev.isNull() | (F.col(metric) > prev))
+    c = c.withColumn("_stale", F.col("_i") - F.max(F.when(F.col("_imp"), F.col("_i"))).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = Window.partitionBy(*group)
+    c = c.withColumn("_stop", F.coalesce(F.min(F.when(F.col("_stale") >= patience, F.col("_i"))).over(g),
+                                         F.max("_i").over(g)))
+    c = c.withColumn("_early", F.max((F.col("_stale") >= patience).cast("int")).over(g) == 1)
+    run = c.filter(F.col("_i") <= F.col("_stop"))
+    best = F.max(F.when(F.col("_imp"), F.struct(F.col("_i"), F.col(round_col).alias("r"),
+                                                *[F.col(x).alias(x) for x in extra])))
+    out = run.groupBy(*group).agg(best.alias("_b"), F.max(metric).alias(f"best_{metric}"),
+                                  F.count(F.lit(1)).alias("rounds_run"), F.max("_early").alias("early_stopped"))
+    return out.select(*group, F.col("_b.r").alias("best_round"), *[F.col(f"_b.{x}").alias(f"best_{x}") for x in extra],
+                      f"best_{metric}", "rounds_run", "early_stopped")

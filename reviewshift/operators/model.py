@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..session import cut_lineage
 
 N_CLASSES = len(lx.CLASS_NAMES)
 MODEL_KEYS = ("source_platform", "condition")
@@ -65,12 +66,58 @@ def nb_train(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
         *k, "token",
         F.array(*[F.log((F.col(f"n{i}") + alpha) / (F.col(f"t{i}") + alpha * F.col("v")))
                   for i in range(N_CLASSES)]).alias("ll"))
+    return model, nb_priors(train, keys, label)
+
+
+def nb_priors(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
+              label: str = "sentiment_label") -> DataFrame:
+    """(keys..., prior array): ln(docs_c / docs) per model key."""
+    k = list(keys)
     docs = train.groupBy(*k, _label_id(label).alias("label_id")).agg(F.count(F.lit(1)).alias("d"))
     w = Window.partitionBy(*k)
-    priors = docs.withColumn("prior", F.log(F.col("d") / F.sum("d").over(w))) \
+    return docs.withColumn("prior", F.log(F.col("d") / F.sum("d").over(w))) \
         .groupBy(*k).agg(F.array(*[F.max(F.when(F.col("label_id") == i, F.col("prior")))
                                    for i in range(N_CLASSES)]).alias("prior"))
-    return model, priors
+
+
+# smoothing values tried round by round by the validation curve
+ALPHA_GRID: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
+
+
+def nb_alpha_curve(train: DataFrame, val: DataFrame, doc_keys: list[str],
+                   alphas: tuple[float, ...] = ALPHA_GRID, keys: tuple[str, ...] = MODEL_KEYS,
+                   text: str = "review_text_clean", label: str = "sentiment_label",
+                   max_broadcast_rows: int = BROADCAST_MODEL_ROWS) -> DataFrame:
+    """In-domain validation predictions of one Naive Bayes model per
+    (model key, round), round r using smoothing ``alphas[r-1]``; all rounds
+    in one job: the token counts are computed once and each count row fans
+    out to the rounds. Output: keys..., doc keys, round, alpha, label_id, pred.
+    """
+    k = list(keys)
+    counts = nb_token_counts(train, keys, text, label)
+    totals = counts.groupBy(*k).agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(N_CLASSES)],
+                                    F.count(F.lit(1)).alias("v"))
+    grid = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("round"), F.lit(float(a)).alias("alpha"))
+                               for i, a in enumerate(alphas)])).alias("_g")
+    m = counts.join(F.broadcast(totals), k).select("*", grid)
+    m = m.select(*k, "token", "_g.round", F.array(*[
+        F.log((F.col(f"n{i}") + F.col("_g.alpha")) / (F.col(f"t{i}") + F.col("_g.alpha") * F.col("v")))
+        for i in range(N_CLASSES)]).alias("ll"))
+    toks = doc_tokens(val, doc_keys + k, text)
+    m = F.broadcast(m) if _fits_broadcast(m, max_broadcast_rows) else m
+    hit = toks.join(m, k + ["token"])
+    sums = hit.groupBy(*doc_keys, *k, "round").agg(
+        *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
+    rounds = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("round"), F.lit(float(a)).alias("alpha"))
+                                 for i, a in enumerate(alphas)])).alias("_g")
+    # priors: one row per model key
+    base = val.select(*doc_keys, *k, _label_id(label).alias("label_id")) \
+        .join(F.broadcast(nb_priors(train, keys, label)), k).select("*", rounds) \
+        .select(*doc_keys, *k, "label_id", "prior", "_g.round", "_g.alpha")
+    scored = base.join(sums, doc_keys + k + ["round"], "left")
+    scores = F.array(*[F.round(F.col("prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)), 6)
+                       for i in range(N_CLASSES)])
+    return scored.select(*k, *doc_keys, "round", "alpha", "label_id", argmax(scores).alias("pred"))
 
 
 def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
@@ -81,7 +128,7 @@ def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
 
 def nb_score(test: DataFrame, model: DataFrame, priors: DataFrame, doc_keys: list[str],
              text: str = "review_text_clean", model_platform: str = "train_src",
-             max_broadcast_rows: int = BROADCAST_MODEL_ROWS) -> DataFrame:
+             max_broadcast_rows: int = BROADCAST_MODEL_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """score every test document with every model of its condition.
 
     Broadcast path (model table within the checked row bound): tokens are
@@ -105,11 +152,12 @@ def nb_score(test: DataFrame, model: DataFrame, priors: DataFrame, doc_keys: lis
         *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
     # every (doc, model of the same condition), also docs with no known token;
     # priors has one row per model: bounded by platforms x conditions
-    base = test.select(*doc_keys, "condition").join(F.broadcast(p), "condition")
+    # (``carry`` columns ride along, so callers need no join back to the input)
+    base = test.select(*doc_keys, "condition", *carry).join(F.broadcast(p), "condition")
     scored = base.join(sums, doc_keys + ["condition", model_platform], "left")
     scores = F.array(*[F.round(F.col("prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)), 6)
                        for i in range(N_CLASSES)])
-    scored = scored.select(*doc_keys, "condition", model_platform, scores.alias("scores"))
+    scored = scored.select(*doc_keys, "condition", model_platform, *carry, scores.alias("scores"))
     return scored.withColumn("pred", argmax(F.col("scores")))
 
 
@@ -143,15 +191,17 @@ def fallback_clean_paths(df: DataFrame, key: list[str], text: str = "review_text
 
 
 def score_reviews(df: DataFrame, model: DataFrame, priors: DataFrame, key: list[str],
-                  text: str = "review_text", digits: int = 4) -> DataFrame:
+                  text: str = "review_text", digits: int = 4, materialize: bool = True) -> DataFrame:
     """every review scored by every model of the matching condition:
     sentiment, confidence, class probabilities (softmax, rounded), the
     cleaned text and the model name."""
-    cleaned = fallback_clean_paths(df, key, text)
-    scored = nb_score(cleaned, model, priors, key)
+    # the regex cleaning runs once: its output is written, then read by both
+    # the token side and the document side of the scoring
+    cleaned = cut_lineage(fallback_clean_paths(df, key, text), "scoring-clean") if materialize \
+        else fallback_clean_paths(df, key, text)
+    scored = nb_score(cleaned, model, priors, key, carry=("review_text_clean",))
     probs = softmax(F.col("scores"), digits=None)
-    out = scored.join(cleaned, key + ["condition"]).select(
-        *key, "train_src", "condition", "pred", probs.alias("_p"), "review_text_clean")
+    out = scored.select(*key, "train_src", "condition", "pred", probs.alias("_p"), "review_text_clean")
     names = [c.lower() for c in lx.CLASS_NAMES]
     label = F.element_at(F.array(*[F.lit(c) for c in lx.CLASS_NAMES]), F.col("pred") + 1)
     model_name = F.concat(F.lit("NaiveBayes trained on "), F.initcap("train_src"), F.lit(" ["),

@@ -71,7 +71,7 @@ FROM (""" + sg.scores_select("train_src, test_src, condition") + ")"))(
     lambda spark, sf: ex.loso_matrix(spark, sf))
 
 
-from . import q_text, q_shift, q_eval, q_sources, q_stream, q_lookup  # noqa: E402,F401  (register more keys)
+from . import q_text, q_shift, q_eval, q_sources, q_stream, q_lookup, q_features  # noqa: E402,F401  (register more keys)
 
 
 def queries() -> dict[str, Q]:

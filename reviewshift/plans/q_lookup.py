@@ -80,7 +80,7 @@ def _label_docs(spark, sf):
     m, p = model.nb_train(s.filter(F.col("split") == "train"))
     m, p = cut_lineage(m), cut_lineage(p)
     docs = fx.labelled_documents(spark, sf)
-    cleaned = model.fallback_clean_paths(docs, ["doc_id"], "text")
+    cleaned = cut_lineage(model.fallback_clean_paths(docs, ["doc_id"], "text"), "label-docs-clean")
     scored = model.nb_score(cleaned, m, p, ["doc_id"])
     truth = docs.select("doc_id", model._label_id().alias("label_id"))
     return lookup.label_docs_join(scored, truth, ["doc_id"])
