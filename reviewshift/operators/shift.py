@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from ..session import cut_lineage
 
 PLATFORM = "source_platform"
 
@@ -63,9 +64,11 @@ def jensen_shannon(aligned: DataFrame, threshold: float = lx.JSD_SHIFT_THRESHOLD
     """Renormalise both sides, JSD in nats (squared JS distance), one
     aggregate pass for the two sums and one for the divergence."""
     # the two normalising totals are two scalars: computed first, then used
-    # as literals (no join, nothing but two numbers pass the driver)
-    tot = aligned.agg(F.sum("p_left").alias("sl"), F.sum("p_right").alias("sr")).first()
-    j = aligned
+    # as literals (no join, nothing but two numbers pass the driver). The
+    # aligned table is written once so both passes read it instead of
+    # recomputing everything upstream.
+    j = cut_lineage(aligned, "aligned")
+    tot = j.agg(F.sum("p_left").alias("sl"), F.sum("p_right").alias("sr")).first()
     p = F.col("p_left") / F.lit(tot["sl"])
     q = F.col("p_right") / F.lit(tot["sr"])
     m = (p + q) / 2

@@ -24,6 +24,8 @@ SAMPLE = [
     "encode_tokens", "kfold_assign", "confusion_matrix", "classification_report", "score_reviews",
     "weighted_log_loss", "flatten_review_pages", "extract_id_from_html", "rating_quota",
     "read_reviews_csv", "write_splits", "adapt_appstore", "chart_confusion", "domain_degradation",
+    "lexicon_join", "stopword_anti", "label_docs_join", "accuracy", "f1_per_class", "sorted_distribution",
+    "sample_rows", "attention_mask", "tfidf_features", "best_model_select",
 ]
 SQL = E.oracle_sql()
 KEYS = sorted(SQL) if os.environ.get("REVIEWSHIFT_ALL_ORACLES") else [k for k in SAMPLE if k in SQL]
@@ -40,7 +42,7 @@ def con():
 def test_every_query_has_an_entry():
     qs = E.queries()
     assert set(SQL) <= set(qs)
-    assert len(set(qs) - set(SQL)) <= 3          # the rows-only keys, see README
+    assert len(set(qs) - set(SQL)) <= 5          # the rows-only keys, see README
 
 
 @pytest.mark.parametrize("key", KEYS)
