@@ -112,3 +112,18 @@ def test_master_pipeline_counts(spark):
     per = [r["count"] for r in m.groupBy("label").count().collect()]
     per.sort()
     assert len(per) == 3 and per[1] == per[2]                               # big classes cut to the median
+
+
+def test_rating_quota_fill_and_running_total(spark):
+    from reviewshift.operators import quota
+    rows = [("s1", 5, i, i) for i in range(5)] + [("s1", 4, i, 10 + i) for i in range(2)] + [("s2", 5, 0, 20)]
+    df = spark.createDataFrame(rows, "shop string, rating int, ts int, event_id int")
+    q = {5: 3, 4: 1, 3: 1, 2: 1, 1: 1}
+    kept = quota.rating_quota(df, "shop", "rating", "ts", "event_id", q)
+    got = sorted((r.shop, r.rating, r.ts) for r in kept.collect())
+    assert got == [("s1", 4, 1), ("s1", 5, 2), ("s1", 5, 3), ("s1", 5, 4), ("s2", 5, 0)]   # newest first
+    fill = {(r.shop, r.rating): (r.collected, r.fill) for r in quota.quota_fill(kept, "shop", "rating", q).collect()}
+    assert fill[("s1", 5)] == (3, 1.0) and fill[("s2", 4)] == (0, 0.0) and len(fill) == 10
+    run = quota.running_total(quota.quota_fill(kept, "shop", "rating", q), "shop", "rating", q)
+    last = {r.shop: r.running_total for r in run.collect() if r.rating == 1}
+    assert last == {"s1": 4, "s2": 5}
