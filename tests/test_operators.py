@@ -127,3 +127,19 @@ def test_rating_quota_fill_and_running_total(spark):
     run = quota.running_total(quota.quota_fill(kept, "shop", "rating", q), "shop", "rating", q)
     last = {r.shop: r.running_total for r in run.collect() if r.rating == 1}
     assert last == {"s1": 4, "s2": 5}
+
+
+def test_hash_rank_hot_group_and_dedup_hot_text(spark):
+    # one group / one text holds most rows: ranks stay a permutation and dedup keeps one row
+    df = spark.range(20000).select(F.col("id").alias("source_seq"), F.lit(0).alias("row_seq"),
+                                   F.when(F.col("id") % 10 == 0, "cold").otherwise("hot").alias("g"),
+                                   F.when(F.col("id") % 3 == 0, F.lit("sama")).otherwise(
+                                       F.col("id").cast("string")).alias("review_text"))
+    r = hash_rank(df.withColumn("_h", md5_key("source_seq", "row_seq")), ["g"], "_h",
+                  ["source_seq", "row_seq"], out="rk")
+    for row in r.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rk").alias("d"),
+                                  F.max("rk").alias("hi")).collect():
+        assert row["n"] == row["d"] == row["hi"]
+    d = curate.dedup_first(df.select("source_seq", "row_seq", "review_text"))
+    assert d.count() == 13333 + 1                  # 6,667 copies of "sama" become one row
+    assert d.filter(F.col("review_text") == "sama").first()["source_seq"] == 0
