@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from .lookup import small_side
 
 PAD, UNK = 0, 1
 
@@ -38,12 +39,12 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, doc_keys: list[str], group: l
     right-padded with PAD, plus the attention mask and the real length.
 
     The vocabulary is bounded by ``max_vocab`` rows per group (W5), so the
-    lookup is a broadcast left join; ids are regrouped per document (at
+    lookup is a broadcast left join (behind a row check); ids are regrouped per document (at
     most ``max_len`` rows each) in position order.
     """
     pos = df.select(*doc_keys, *group,
                     F.posexplode(F.slice(tx.tokens(text), 1, max_len)).alias("pos", "token"))
-    j = pos.join(F.broadcast(vocab), group + ["token"], "left") \
+    j = pos.join(small_side(vocab), group + ["token"], "left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK)))
     ids = j.groupBy(*doc_keys, *group).agg(
         F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
@@ -59,8 +60,9 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, doc_keys: list[str], group: l
 
 
 def vocab_lookup(tokens_df: DataFrame, vocab: DataFrame, on: list[str]) -> DataFrame:
-    """Token -> id with UNK default (broadcast: vocab is row-bounded)."""
-    return tokens_df.join(F.broadcast(vocab), on, "left") \
+    """Token -> id with UNK default (broadcast after a row check; vocab
+    is bounded by max_vocab per group)."""
+    return tokens_df.join(small_side(vocab), on, "left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK)))
 
 
