@@ -120,6 +120,12 @@ def nb_alpha_curve(train: DataFrame, val: DataFrame, doc_keys: list[str],
     return scored.select(*k, *doc_keys, "round", "alpha", "label_id", argmax(scores).alias("pred"))
 
 
+def materialize_model(model: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write the token and prior tables once (every scoring join reads them)."""
+    return (cut_lineage(model, "nb-model", spread_out=False),
+            cut_lineage(priors, "nb-priors", spread_out=False))
+
+
 def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Size check for a table we want to broadcast (one count action;
     cheap when ``df`` is a materialised model table)."""

@@ -67,7 +67,7 @@ def jensen_shannon(aligned: DataFrame, threshold: float = lx.JSD_SHIFT_THRESHOLD
     # as literals (no join, nothing but two numbers pass the driver). The
     # aligned table is written once so both passes read it instead of
     # recomputing everything upstream.
-    j = cut_lineage(aligned, "aligned")
+    j = cut_lineage(aligned, "aligned", spread_out=False)
     tot = j.agg(F.sum("p_left").alias("sl"), F.sum("p_right").alias("sr")).first()
     p = F.col("p_left") / F.lit(tot["sl"])
     q = F.col("p_right") / F.lit(tot["sr"])

@@ -48,13 +48,12 @@ def loso_predictions(spark: SparkSession, sf_dir: str, split_df: DataFrame | Non
     """Every test review scored by every model of its condition."""
     s = split_df if split_df is not None else experiment_splits(spark, sf_dir)
     train = s.filter(F.col("split") == "train")
-    test = s.filter(F.col("split") == "test")
-    tok_model, priors = model.nb_train(train)
-    tok_model, priors = cut_lineage(tok_model), cut_lineage(priors)
-    scored = model.nb_score(test, tok_model, priors, DOC_KEYS)
-    truth = test.select(*DOC_KEYS, "condition", F.col("source_platform").alias("test_src"),
-                        model._label_id().alias("label_id"))
-    return scored.join(truth, DOC_KEYS + ["condition"])
+    tok_model, priors = model.materialize_model(*model.nb_train(train))
+    # the truth (test platform, label id) rides through the scoring: no join back
+    test = s.filter(F.col("split") == "test").select(
+        *DOC_KEYS, "condition", "review_text_clean", F.col("source_platform").alias("test_src"),
+        model._label_id().alias("label_id"))
+    return model.nb_score(test, tok_model, priors, DOC_KEYS, carry=("test_src", "label_id"))
 
 
 def title_case(df: DataFrame, cols=("train_src", "test_src", "condition")) -> DataFrame:

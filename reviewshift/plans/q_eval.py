@@ -260,8 +260,7 @@ FROM tot t JOIN pri p ON p.train_src = t.source_platform AND p.condition = t.con
 
 def _scored_reviews(spark, sf):
     s, (m, p) = _models(spark, sf)
-    from ..session import cut_lineage
-    m, p = cut_lineage(m), cut_lineage(p)
+    m, p = model.materialize_model(m, p)
     return model.score_reviews(fx.reviews(spark, sf), m, p, ["review_id"])
 
 

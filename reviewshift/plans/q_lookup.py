@@ -78,7 +78,7 @@ SELECT review_id, pos, token FROM pos WHERE token NOT IN {sg.in_list(_STOP)}""")
 def _label_docs(spark, sf):
     s = ex.experiment_splits(spark, sf)
     m, p = model.nb_train(s.filter(F.col("split") == "train"))
-    m, p = cut_lineage(m), cut_lineage(p)
+    m, p = model.materialize_model(m, p)
     docs = fx.labelled_documents(spark, sf)
     cleaned = cut_lineage(model.fallback_clean_paths(docs, ["doc_id"], "text"), "label-docs-clean")
     scored = model.nb_score(cleaned, m, p, ["doc_id"])

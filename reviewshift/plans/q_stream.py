@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import model
-from ..session import cut_lineage
 from ..sources import csv_io as io
 from ..sources import fixtures as fx
 from ..streaming import stream as st
@@ -37,7 +36,7 @@ register("stream_ingest", q_sources.PAGES_ORACLE)(_ingest)
 def _score(spark, sf):
     s = ex.experiment_splits(spark, sf)
     m, p = model.nb_train(s.filter(F.col("split") == "train"))
-    m, p = cut_lineage(m), cut_lineage(p)
+    m, p = model.materialize_model(m, p)
     out = st.stream_score(spark, _land_reviews(spark, sf), io.scratch_path(spark, "scored"),
                           io.scratch_path(spark, "ckpt"), m, p)
     return out.select("review_id", "train_src", "condition", "sentiment", "confidence")

@@ -58,7 +58,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", spread_out: bool = True) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint dir
     and continue from it.
 
@@ -69,8 +69,11 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     base = checkpoint_dir(df.sparkSession).rstrip("/")
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    # small stage outputs pack into one input split; keep every core busy
-    return spread(df.sparkSession.read.parquet(path))
+    back = df.sparkSession.read.parquet(path)
+    # small stage outputs pack into few input splits: spread them so per-row
+    # work keeps every core busy; lookup tables that are broadcast or only
+    # aggregated (spread_out=False) are read as they are
+    return spread(back) if spread_out else back
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
