@@ -179,9 +179,10 @@ def filter_report(df: DataFrame, mode: str = "multi") -> DataFrame:
 
 def label_override_rate(df: DataFrame) -> DataFrame:
     """M4: share of 3..5-star rows relabelled Negatif, per platform and rating."""
-    lab = lb.auto_label("rating", "review_text")
-    return (df.filter(F.col("rating") >= 3)
+    # the keyword label is projected once (two aggregates read it)
+    neg = (lb.auto_label("rating", "review_text") == "Negatif").alias("_neg")
+    return (df.filter(F.col("rating") >= 3).select("source_platform", "rating", neg)
             .groupBy("source_platform", "rating")
             .agg(F.count(F.lit(1)).alias("n"),
-                 F.count_if(lab == "Negatif").alias("n_overridden"),
-                 F.round(F.avg((lab == "Negatif").cast("double")), 6).alias("override_rate")))
+                 F.count_if("_neg").alias("n_overridden"),
+                 F.round(F.avg(F.col("_neg").cast("double")), 6).alias("override_rate")))
