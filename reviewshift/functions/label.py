@@ -13,12 +13,13 @@ def _c(c) -> Column:
 
 
 def has_keyword(text, keywords: tuple[str, ...] = lx.NEGATIVE_KEYWORDS) -> Column:
-    """Any keyword as a plain substring of the lower-cased text."""
-    low = F.lower(F.coalesce(_c(text), F.lit("")))
-    out = F.lit(False)
-    for k in keywords:
-        out = out | low.contains(k)
-    return out
+    """Any keyword as a plain substring of the lower-cased text: one regex
+    scan over one lower-cased copy (each keyword quoted as a literal),
+    rather than a chain of ``contains`` that re-lowers the text per keyword."""
+    if not keywords:
+        return F.lit(False)
+    alternation = "|".join(f"\\Q{k}\\E" for k in keywords)
+    return F.lower(F.coalesce(_c(text), F.lit(""))).rlike(alternation)
 
 
 def auto_label(rating, text, keywords: tuple[str, ...] = lx.NEGATIVE_KEYWORDS) -> Column:
