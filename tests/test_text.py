@@ -122,3 +122,10 @@ def test_idempotent(spark, fn):
     from reviewshift.sources import fixtures as fx
     df = fx.reviews(spark, SF_SMALL).select(fn("review_text").alias("a"))
     assert df.filter(fn("a") != F.col("a")).count() == 0
+
+
+def test_keywords_are_literal_substrings(spark):
+    df = spark.createDataFrame([("Harga A.B naik",), ("axb",), ("c++ rusak",), (None,)], "t string")
+    got = [r[0] for r in df.select(lb.has_keyword("t", ("a.b", "c++"))).collect()]
+    assert got == [True, False, True, False]
+    assert [r[0] for r in df.select(lb.has_keyword("t", ())).collect()] == [False] * 4
