@@ -205,6 +205,13 @@ def score_reviews(df: DataFrame, model: DataFrame, priors: DataFrame, key: list[
     # the token side and the document side of the scoring
     cleaned = cut_lineage(fallback_clean_paths(df, key, text), "scoring-clean") if materialize \
         else fallback_clean_paths(df, key, text)
+    return score_cleaned(cleaned, model, priors, key, digits)
+
+
+def score_cleaned(cleaned: DataFrame, model: DataFrame, priors: DataFrame, key: list[str],
+                  digits: int = 4) -> DataFrame:
+    """F7 on (key..., condition, review_text_clean) rows from
+    ``fallback_clean_paths`` (read twice: tokens and documents)."""
     scored = nb_score(cleaned, model, priors, key, carry=("review_text_clean",))
     probs = softmax(F.col("scores"), digits=None)
     out = scored.select(*key, "train_src", "condition", "pred", probs.alias("_p"), "review_text_clean")

@@ -47,8 +47,15 @@ def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str,
            .json(landing))
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = model.score_reviews(batch, tok_model, priors, ["review_id"])
-        scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # the micro-batch's cleaned text is read twice by the scoring: keep it
+        # for the duration of this batch only (a lost copy is recomputed from
+        # the replayable source offsets)
+        cleaned = model.fallback_clean_paths(batch, ["review_id"]).persist()
+        try:
+            scored = model.score_cleaned(cleaned, tok_model, priors, ["review_id"])
+            scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            cleaned.unpersist()
 
     _run(src.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint))
     return spark.read.parquet(out)
