@@ -13,7 +13,7 @@ each the one farthest from those before; they bear on speed only.
 Defined results: vectors that are null or hold a null or non-finite component take no part. Short
 vectors count as filled up with zeros. A row with a query's own id is no candidate of it; other
 rows that repeat an id are candidates each. Equal query rows are one query. A null id is no query,
-and among ties comes last. Scores beyond 64 bits are set to the nearest long.
+and among ties comes last. Scores beyond 64 bits are the nearest long, and tie.
 """
 
 from __future__ import annotations
@@ -53,7 +53,9 @@ def fitted(x: np.ndarray, width: int) -> np.ndarray:
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     width = max(x.shape[1], pivots.shape[1])
     x, pivots = fitted(x, width), fitted(pivots, width)
-    return np.column_stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots]) if len(pivots) else np.zeros((len(x), 0))
+    with np.errstate(over="ignore"):
+        cols = [np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots]
+    return np.column_stack(cols) if cols else np.zeros((len(x), 0))
 
 
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +71,7 @@ def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
 
 def scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products."""
-    if (np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(len(q), 1)) < EXACT:
+    if float(np.abs(x).max(initial=0)) < EXACT / max(float(np.abs(q).max(initial=0)) * len(q), 1.0):
         return np.rint(x @ q).astype(np.int64)
     whole = [int(v) for v in q]
     return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole)), -LONG), LONG) for row in x], np.int64)
@@ -80,17 +82,19 @@ class Best:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, dist: np.ndarray, k: int):
         self.ids, self.q, self.dist, self.k = ids, q, dist, k
-        self.norm = (q * q).sum(axis=1)
+        with np.errstate(over="ignore"):
+            self.norm = (q * q).sum(axis=1)
         self.found: list[list[tuple[int, bool, int]]] = [[] for _ in ids]  # (-score, id is null, id)
 
     def add(self, ids: np.ndarray, null: np.ndarray, x: np.ndarray, dist: np.ndarray) -> None:
         width = max(x.shape[1], self.q.shape[1])
         x, q = fitted(x, width), fitted(self.q, width)
-        norm = (x * x).sum(axis=1)
+        with np.errstate(over="ignore"):  # an infinite bound leaves a candidate in
+            norm = (x * x).sum(axis=1)
         for k in range(len(self.ids)):
-            low = np.abs(dist - self.dist[k]).max(axis=1, initial=0.0)
-            both = norm + self.norm[k]
             with np.errstate(invalid="ignore", over="ignore"):
+                low = np.abs(dist - self.dist[k]).max(axis=1, initial=0.0)
+                both = norm + self.norm[k]
                 top = (both - low * low) / 2 + 1 + 1e-9 * both
             top = np.where(np.isnan(top), np.inf, top)
             top[(ids == self.ids[k]) & ~null] = -np.inf

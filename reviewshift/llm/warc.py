@@ -99,6 +99,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     if not data.startswith(VERSION, at) or head_end < 0:
         raise Bad("no header")
     lines = data[at:head_end].split(b"\r\n")
+    if not all(b":" in line or line[:1] in b" \t" for line in lines[1:]):
+        raise Bad("header is broken off")
     fields = {k.strip().lower().decode("latin-1"): v.strip().decode("utf-8", "replace")
               for k, _, v in (line.partition(b":") for line in lines[1:])}
     if not fields.get("content-length", "").isdigit():
