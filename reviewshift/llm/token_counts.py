@@ -2,8 +2,8 @@
 
 A piece never spans a place between two letters that stand beside each other in no piece, so the
 pieces of a text are those of its pre-tokens: white space with the letters that follow it, and
-each letter of which no longer piece is made. The plan counts the pieces of each distinct
-pre-token once, joins the counts to the pre-token frequencies of the documents and sums.
+each letter of which no longer piece is made. The plan brings the frequencies of a pre-token
+together, counts its pieces once, joins that count to the documents' frequencies and sums.
 
 Frequencies travel as one row for each pre-token and frequency in a block of documents, with the
 places in the block of the documents that have it so often. A pre-token that is in many documents
@@ -33,12 +33,12 @@ SALTS, FREQUENT = 64, 16  # frequent: in over a 16th of a block's documents
 ROWS = T.StructType([
     T.StructField("piece", T.StringType()), T.StructField("salt", T.IntegerType()),
     T.StructField("block", T.LongType()), T.StructField("times", T.LongType()),
-    T.StructField("places", T.ArrayType(T.ShortType())), T.StructField("ids", T.ArrayType(T.LongType())),
-    T.StructField("bytes", T.ArrayType(T.LongType())),
+    T.StructField("place", T.ShortType()), T.StructField("places", T.ArrayType(T.ShortType())),
+    T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
 ])
 ARROW = pa.schema([
     ("piece", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("times", pa.int64()),
-    ("places", pa.list_(pa.int16())), ("ids", pa.list_(pa.int64())), ("bytes", pa.list_(pa.int64()))])
+    ("place", pa.int16()), ("places", pa.list_(pa.int16())), ("id", pa.int64()), ("n_bytes", pa.int64())])
 
 
 class PieceCounter:
@@ -74,7 +74,7 @@ def counter(path: str) -> PieceCounter:
 
 
 def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block: its documents' ids and sizes, and the frequencies."""
+    """Rows of one block: one of each document with its id and size, and the frequencies."""
     index: dict[str, int] = {}
     spots, sizes = [], []
     for _, text in docs:
@@ -89,26 +89,32 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
     first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (times[1:] != times[:-1])))) if len(word) else word
     frequent = np.bincount(word, minlength=len(index)) * FREQUENT > len(docs)
     names = np.array(list(index), object)
-    head = f"{GUARD}{GUARD}{block}"  # no pre-token: there the guard stands alone
-    ids, n_bytes = [d[0] for d in docs], [len(d[1].encode("utf-8", "surrogatepass")) for d in docs]
-    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(
-        [head, 0, block, 0, list(range(len(docs))), ids, n_bytes], ARROW.types)], schema=ARROW)
+    n = len(docs)
+    yield pa.RecordBatch.from_arrays([
+        # no pre-tokens: there the guard stands alone
+        pa.array([f"{GUARD}{GUARD}{block}:{k}" for k in range(n)]), pa.array(np.zeros(n, np.int32)),
+        pa.array(np.full(n, block)), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n).astype(np.int16)),
+        pa.nulls(n, pa.list_(pa.int16())), pa.array([d[0] for d in docs], pa.int64()),
+        pa.array([len(d[1].encode("utf-8", "surrogatepass")) for d in docs], pa.int64())], schema=ARROW)
     ends = np.append(first, len(word))
     for at in range(0, len(first), 100_000):
         f = first[at:at + 100_000]
         z = ends[at:at + 100_000 + 1]
-        n = len(f)
+        n, lone = len(f), np.diff(z) == 1
+        many = place[z[0]:z[-1]][np.repeat(~lone, np.diff(z))]
+        bounds = np.concatenate(([0], np.cumsum(np.where(lone, 0, np.diff(z)))))
         yield pa.RecordBatch.from_arrays([
             pa.array(names[word[f]], pa.string()),
             pa.array(np.where(frequent[word[f]], block % SALTS, -1).astype(np.int32)),
             pa.array(np.full(n, block)), pa.array(times[f].astype(np.int64)),
-            pa.ListArray.from_arrays(pa.array((z - z[0]).astype(np.int32)),
-                                     pa.array(place[z[0]:z[-1]].astype(np.int16))),
-            pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], schema=ARROW)
+            pa.array(place[f].astype(np.int16), mask=~lone),
+            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(many.astype(np.int16)),
+                                     mask=pa.array(lone)),
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=ARROW)
 
 
 def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ROWS: per block a head row (ids, sizes), and the frequencies of its pre-tokens."""
+    """Rows of ROWS: the documents of each block, and the frequencies of its pre-tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, task = counter(path), TaskContext.get().partitionId()
@@ -129,24 +135,20 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes (UTF-8), n_tokens of each row of ``docs``."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = b.column(0)
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a pre-token's rows stand together, so each is counted once
+            words = b.column(0).dictionary_encode()
+            n = counter(path).count(words.dictionary.to_pylist())[words.indices.to_numpy()]
             yield pa.RecordBatch.from_arrays(
-                [words, b.column(1), pa.array(counter(path).count(words.to_pylist()))], names=["piece", "salt", "n"])
-
-    rows = frequencies(docs, path, id_col, text_col).repartition("piece", "salt")
-    heads = rows.filter(F.col("ids").isNotNull())
-    posted = rows.filter(F.col("ids").isNull())
-    counts = (posted.groupBy("piece", "salt").agg(F.count(F.lit(1)).alias("rows")).select("piece", "salt")
-              .mapInArrow(counted, "piece string, salt int, n long"))
-    sums = (posted.join(counts.withColumnsRenamed({"piece": "p", "salt": "s"}),
-                        (F.col("piece") == F.col("p")) & (F.col("salt") == F.col("s")))
-            .select("block", F.explode("places").alias("place"), (F.col("n") * F.col("times")).alias("n"),
-                    F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("n_bytes")))
-    known = (heads.select("block", F.posexplode(F.arrays_zip("ids", "bytes")).alias("place", "d"))
-             .select("block", F.col("place").cast("short").alias("place"), F.lit(0).cast("long").alias("n"),
-                     F.col("d.ids").alias("id"), F.col("d.bytes").alias("n_bytes")))
-    return (sums.unionByName(known).groupBy("block", "place")
+                [b.column(2), pa.array(n * b.column(3).to_numpy()), *b.columns[4:]],
+                names=["block", "n", "place", "places", "id", "n_bytes"])
+
+    # Both sides of the join would come from one exchange: it is a merge within its partitions.
+    rows = (frequencies(docs, path, id_col, text_col).repartition("piece", "salt")
+            .sortWithinPartitions("piece")
+            .mapInArrow(joined, T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
+                                              *ROWS.fields[4:]])))
+    posted = rows.select("block", "n", "id", "n_bytes", F.explode(F.coalesce("places", F.array("place"))).alias("place"))
+    return (posted.groupBy("block", "place")
             .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
             .select("id", "n_bytes", "n_tokens"))
