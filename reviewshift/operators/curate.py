@@ -38,7 +38,8 @@ def conform_schema(df: DataFrame, defaults: dict = lx.COLUMN_DEFAULTS,
 
 def fill_defaults(df: DataFrame, defaults: dict = lx.COLUMN_DEFAULTS) -> DataFrame:
     """Null -> per-column default."""
-    return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults
+    kind = dict(df.dtypes)
+    return df.select(*[F.coalesce(F.col(c), F.lit(defaults[c]).cast(kind[c])).alias(c) if c in defaults
                        else F.col(c) for c in df.columns])
 
 
@@ -53,8 +54,9 @@ def missing_report(df: DataFrame, cols=lx.REQUIRED_COLUMNS) -> DataFrame:
 def conform_platform(df: DataFrame, platform: str | None = None,
                      defaults: dict = lx.COLUMN_DEFAULTS) -> DataFrame:
     """C1+C2+C4+C5+P3: the per-file conforming step of the study."""
-    df = fill_defaults(conform_schema(df, defaults), defaults)
-    df = df.withColumn("rating", lb.coerce_rating("rating"))
+    # the rating first: '4.0', 'abc' and nulls become numbers before defaults are filled in
+    df = conform_schema(df, defaults).withColumn("rating", lb.coerce_rating("rating"))
+    df = fill_defaults(df, defaults)
     if platform is not None:
         df = df.withColumn("source_platform", F.lit(platform))
     return df.filter(~tx.is_blank("review_text"))
@@ -138,19 +140,6 @@ def downsample_to_median(df: DataFrame, label: str = "label",
             .drop("_h", "_rk", "target"))
 
 
-# --- master table (3.1) -------------------------------------------------------------
-
-def build_master(frames: list[DataFrame], mode: str = "multi") -> DataFrame:
-    """Conformed platform frames -> labelled, deduplicated, balanced master."""
-    df = union_platforms(frames)
-    df = filter_noise(df, mode)
-    df = dedup_first(df)
-    df = with_label(df)
-    if mode == "multi":
-        df = downsample_to_median(df)
-    return df
-
-
 # --- A1, P8, M4 -----------------------------------------------------------------
 
 def dataset_stats(df: DataFrame) -> DataFrame:

@@ -15,16 +15,6 @@ from pyspark.sql import types as T
 from ..functions import lexicon as lx
 from ..functions import text as tx
 
-# a lookup table up to this many rows is broadcast; a larger one is
-# joined with a shuffle on the token
-BROADCAST_LOOKUP_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint behind a row-count check (one bounded count)."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def token_positions(df: DataFrame, keys: list[str], text: str, lower: bool = True) -> DataFrame:
     """(keys..., pos, token): whitespace tokens with 1-based positions."""
     c = F.lower(F.col(text)) if lower else F.col(text)
@@ -51,7 +41,7 @@ def word_table(spark: SparkSession, words, col: str = "token") -> DataFrame:
 def lexicon_join(tokens_df: DataFrame, lexicon: DataFrame, token: str = "token") -> DataFrame:
     """Left equi lookup token -> replacement; unmatched tokens keep
     themselves, a replacement of "" marks a deleted token."""
-    lex = small_side(lexicon.select(F.col("token").alias("_k"), "replacement"))
+    lex = lexicon.select(F.col("token").alias("_k"), "replacement")
     j = tokens_df.join(lex, F.col(token) == F.col("_k"), "left")
     return j.select(*tokens_df.columns,
                     F.coalesce(F.col("replacement"), F.col(token)).alias("normalized"),
@@ -60,13 +50,13 @@ def lexicon_join(tokens_df: DataFrame, lexicon: DataFrame, token: str = "token")
 
 def whitelist_semi(tokens_df: DataFrame, words: DataFrame, token: str = "token") -> DataFrame:
     """The token rows whose token is in ``words`` (left semi join)."""
-    w = small_side(words.select(F.col(words.columns[0]).alias("_k")))
+    w = words.select(F.col(words.columns[0]).alias("_k"))
     return tokens_df.join(w, F.col(token) == F.col("_k"), "left_semi")
 
 
 def stopword_anti(tokens_df: DataFrame, words: DataFrame, token: str = "token") -> DataFrame:
     """The token rows whose token is not in ``words`` (left anti join)."""
-    w = small_side(words.select(F.col(words.columns[0]).alias("_k")))
+    w = words.select(F.col(words.columns[0]).alias("_k"))
     return tokens_df.join(w, F.col(token) == F.col("_k"), "left_anti")
 
 
@@ -89,5 +79,5 @@ def attention_mask(df: DataFrame, keys: list[str], text: str = "review_text_clea
                      .alias("attention_mask"))
 
 
-__all__ = ["small_side", "token_positions", "lexicon_table", "word_table", "lexicon_join",
+__all__ = ["token_positions", "lexicon_table", "word_table", "lexicon_join",
            "whitelist_semi", "stopword_anti", "label_docs_join", "attention_mask"]

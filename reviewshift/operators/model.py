@@ -18,9 +18,8 @@ from ..session import cut_lineage
 
 N_CLASSES = len(lx.CLASS_NAMES)
 MODEL_KEYS = ("source_platform", "condition")
-# model tables below this many rows are broadcast to the scoring join;
-# larger ones go through a shuffle join (AQE splits skewed token keys)
-BROADCAST_MODEL_ROWS = 2_000_000
+# stands for the document itself among its tokens: its "likelihood" is the prior
+PRIOR_TOKEN = ""
 
 
 def _label_id(c: str = "sentiment_label"):
@@ -71,13 +70,14 @@ def nb_train(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
 
 def nb_priors(train: DataFrame, keys: tuple[str, ...] = MODEL_KEYS,
               label: str = "sentiment_label") -> DataFrame:
-    """(keys..., prior array): ln(docs_c / docs) per model key."""
+    """(keys..., prior array): ln(docs_c / docs) per model key; a class without
+    documents has -infinity, so it is never predicted and gets probability 0."""
     k = list(keys)
     docs = train.groupBy(*k, _label_id(label).alias("label_id")).agg(F.count(F.lit(1)).alias("d"))
     w = Window.partitionBy(*k)
     return docs.withColumn("prior", F.log(F.col("d") / F.sum("d").over(w))) \
-        .groupBy(*k).agg(F.array(*[F.max(F.when(F.col("label_id") == i, F.col("prior")))
-                                   for i in range(N_CLASSES)]).alias("prior"))
+        .groupBy(*k).agg(F.array(*[F.coalesce(F.max(F.when(F.col("label_id") == i, F.col("prior"))),
+                                              F.lit(float("-inf"))) for i in range(N_CLASSES)]).alias("prior"))
 
 
 # smoothing values tried round by round by the validation curve
@@ -86,8 +86,7 @@ ALPHA_GRID: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0)
 
 def nb_alpha_curve(train: DataFrame, val: DataFrame, doc_keys: list[str],
                    alphas: tuple[float, ...] = ALPHA_GRID, keys: tuple[str, ...] = MODEL_KEYS,
-                   text: str = "review_text_clean", label: str = "sentiment_label",
-                   max_broadcast_rows: int = BROADCAST_MODEL_ROWS) -> DataFrame:
+                   text: str = "review_text_clean", label: str = "sentiment_label") -> DataFrame:
     """In-domain validation predictions of one Naive Bayes model per
     (model key, round), round r using smoothing ``alphas[r-1]``; all rounds
     in one job: the token counts are computed once and each count row fans
@@ -104,7 +103,6 @@ def nb_alpha_curve(train: DataFrame, val: DataFrame, doc_keys: list[str],
         F.log((F.col(f"n{i}") + F.col("_g.alpha")) / (F.col(f"t{i}") + F.col("_g.alpha") * F.col("v")))
         for i in range(N_CLASSES)]).alias("ll"))
     toks = doc_tokens(val, doc_keys + k, text)
-    m = F.broadcast(m) if _fits_broadcast(m, max_broadcast_rows) else m
     hit = toks.join(m, k + ["token"])
     sums = hit.groupBy(*doc_keys, *k, "round").agg(
         *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
@@ -126,45 +124,37 @@ def materialize_model(model: DataFrame, priors: DataFrame) -> tuple[DataFrame, D
             cut_lineage(priors, "nb-priors", spread_out=False))
 
 
-def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    """Size check for a table we want to broadcast (one count action;
-    cheap when ``df`` is a materialised model table)."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
 def nb_score(test: DataFrame, model: DataFrame, priors: DataFrame, doc_keys: list[str],
              text: str = "review_text_clean", model_platform: str = "train_src",
-             max_broadcast_rows: int = BROADCAST_MODEL_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+             carry: tuple[str, ...] = ()) -> DataFrame:
     """score every test document with every model of its condition.
 
-    Broadcast path (model table within the checked row bound): tokens are
-    joined map-side and summed per document, one small shuffle.
-    Shuffle path (larger model): (doc, token) counts are aggregated first,
-    then joined on (condition, token); AQE splits skewed token keys.
-    Output: doc keys, condition, train_src, scores array<double> (rounded
-    to 6 so summation order cannot flip a tie) and pred (argmax, lowest
-    class id on ties).
+    The model has one row per (condition, token) with the likelihoods of all
+    its platforms. Tokens are counted per document before the join (AQE
+    splits skewed token keys), and each document has the prior as a token of
+    its own, so documents without a known token are scored too. The fan-out
+    to models carries keys and sums only; ``carry`` columns join once, to one
+    row per document. Output: doc keys, condition, train_src, scores
+    array<double> (rounded to 6 so summation order cannot flip a tie) and
+    pred (argmax, lowest class id on ties).
     """
-    m = model.withColumnRenamed("source_platform", model_platform)
-    p = priors.withColumnRenamed("source_platform", model_platform)
-    if _fits_broadcast(m, max_broadcast_rows):
-        toks = test.select(*doc_keys, "condition", F.explode(tx.tokens(text)).alias("token"),
-                           F.lit(1).alias("cnt"))
-        hit = toks.join(F.broadcast(m), ["condition", "token"])
-    else:
-        toks = doc_tokens(test, doc_keys + ["condition"], text)
-        hit = toks.join(m, ["condition", "token"])
-    sums = hit.groupBy(*doc_keys, "condition", model_platform).agg(
-        *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
-    # every (doc, model of the same condition), also docs with no known token;
-    # priors has one row per model: bounded by platforms x conditions
-    # (``carry`` columns ride along, so callers need no join back to the input)
-    base = test.select(*doc_keys, "condition", *carry).join(F.broadcast(p), "condition")
-    scored = base.join(sums, doc_keys + ["condition", model_platform], "left")
-    scores = F.array(*[F.round(F.col("prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)), 6)
-                       for i in range(N_CLASSES)])
-    scored = scored.select(*doc_keys, "condition", model_platform, *carry, scores.alias("scores"))
-    return scored.withColumn("pred", argmax(F.col("scores")))
+    every = model.unionByName(priors.select("source_platform", "condition", F.lit(PRIOR_TOKEN).alias("token"),
+                                            F.col("prior").alias("ll")))
+    # one entry per training platform: bounded by the platforms of the study
+    m = every.groupBy("condition", "token").agg(
+        F.collect_list(F.struct(F.col("source_platform").alias(model_platform), "ll")).alias("_models"))
+    docs = doc_keys + ["condition"]
+    toks = doc_tokens(test, docs, text).unionByName(
+        test.select(*docs, F.lit(PRIOR_TOKEN).alias("token"), F.lit(1).cast("long").alias("cnt")))
+    hit = toks.join(m, ["condition", "token"]).select(*docs, "cnt", F.explode("_models").alias("_m"))
+    sums = hit.groupBy(*docs, F.col(f"_m.{model_platform}").alias(model_platform)).agg(
+        F.array(*[F.round(F.sum(F.col("cnt") * F.col("_m.ll")[i]), 6) for i in range(N_CLASSES)]).alias("scores"))
+    if carry:
+        per_doc = sums.groupBy(*docs).agg(F.collect_list(F.struct(model_platform, "scores")).alias("_s"))
+        sums = (test.select(*docs, *carry).join(per_doc, docs)
+                .select(*docs, *carry, F.explode("_s").alias("_s"))
+                .select(*docs, f"_s.{model_platform}", *carry, "_s.scores"))
+    return sums.withColumn("pred", argmax(F.col("scores")))
 
 
 def argmax(arr) -> "F.Column":

@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from .ranking import top_k
 
 
 def rating_quota(df: DataFrame, shop: str, rating: str, newest: str, tie: str,
                  quota: dict[int, int] = lx.RATING_QUOTA) -> DataFrame:
     """Per (shop, rating) the first quota[rating] rows, newest first.
 
-    The literal bound ``k <= max(quota)`` lets Spark plan a partial
-    WindowGroupLimit before the shuffle, so a hot shop ships at most
-    max(quota) rows per map task; the per-rating bound is applied after.
+    ``top_k`` ranks in hash buckets first, so no task sorts a hot shop's
+    whole history; the per-rating bound is applied after.
     """
     qmap = F.create_map(*[F.lit(x) for kv in sorted(quota.items()) for x in kv])
-    w = Window.partitionBy(shop, rating).orderBy(F.col(newest).desc(), F.col(tie))
-    k = F.row_number().over(w)
-    out = df.withColumn("k", k).filter(F.col("k") <= max(quota.values()))
+    out = top_k(df, [shop, rating], [F.col(newest).desc(), F.col(tie)], max(quota.values()), [tie], out="k")
     return out.filter(F.col("k") <= F.try_element_at(qmap, F.col(rating)))
 
 

@@ -26,14 +26,56 @@ def md5_key(*cols, seed: int = lx.RANDOM_STATE) -> Column:
 
 def hash_rank(df: DataFrame, group_cols: list[str], key: str, ties: list[str],
               out: str = "rank", bucket_chars: int = 3) -> DataFrame:
-    """1-based rank of each row inside ``group_cols`` ordered by (key, ties)."""
+    """1-based bigint rank of each row inside ``group_cols`` ordered by (key, ties).
+
+    ``key`` is a hash in hex, so its first digits deal a group out evenly.
+    Null group values are a group of their own.
+    """
+    return _bucketed_rank(df, group_cols, F.substring(F.col(key), 1, bucket_chars), [key, *ties], out)
+
+
+def range_rank(df: DataFrame, group_cols: list[str], order: str, out: str = "rank",
+               buckets: int = 64) -> DataFrame:
+    """1-based bigint rank of each row inside ``group_cols`` ordered by the
+    numeric column ``order`` (unique in a group).
+
+    Buckets are ranges between approximate quantiles of ``order`` (the
+    driver sees ``buckets`` numbers), so no task sorts a whole hot group.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.25 / buckets)))
+    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    return _bucketed_rank(df, group_cols, bucket, [order], out)
+
+
+def _bucketed_rank(df: DataFrame, group_cols: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
+    """Rank inside (group, bucket) plus the sizes of the group's earlier buckets."""
     g = list(group_cols)
-    b = df.withColumn("_bucket", F.substring(F.col(key), 1, bucket_chars))
-    local = Window.partitionBy(*g, "_bucket").orderBy(F.col(key), *[F.col(t) for t in ties])
-    b = b.withColumn("_local", F.row_number().over(local))
+    b = df.withColumn("_bucket", bucket)
+    local = Window.partitionBy(*g, "_bucket").orderBy(*[F.col(c) for c in order])
+    b = b.withColumn("_local", F.row_number().over(local).cast("long"))
     sizes = b.groupBy(*g, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*g).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return (b.join(offsets, g + ["_bucket"])
-            .withColumn(out, (F.col("_off") + F.col("_local")).cast("int"))
-            .drop("_bucket", "_local", "_off"))
+    offsets = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(g)], F.col("_bucket").alias("_gb"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    on = F.col("_bucket").eqNullSafe(F.col("_gb"))
+    for i, c in enumerate(g):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return (b.join(offsets, on).withColumn(out, F.col("_off") + F.col("_local"))
+            .drop("_bucket", "_local", "_off", "_gb", *[f"_g{i}" for i in range(len(g))]))
+
+
+def top_k(df: DataFrame, group_cols: list[str], order: list[Column], k: int, spread: list[str],
+          out: str = "rank", buckets: int = 32) -> DataFrame:
+    """The first ``k`` rows of each group in ``order``, ranked from 1.
+
+    Rows are dealt into ``buckets`` by a hash of ``spread``; each bucket's
+    window keeps its own first k, so the window over a whole group sees at
+    most ``buckets * k`` rows, whatever the group's size and whatever k
+    (Spark's own partial limit stops at k = 1,000).
+    """
+    salt = F.pmod(F.xxhash64(*spread), F.lit(buckets))
+    near = (df.withColumn("_salt", salt)
+            .withColumn(out, F.row_number().over(Window.partitionBy(*group_cols, "_salt").orderBy(*order)))
+            .filter(F.col(out) <= k).drop("_salt", out))
+    return (near.withColumn(out, F.row_number().over(Window.partitionBy(*group_cols).orderBy(*order)))
+            .filter(F.col(out) <= k))

@@ -1,9 +1,8 @@
 """Domain-shift measurements between review sources.
 
 All statistics are aggregates; the only per-group windows are top-k
-limits with a literal bound (Spark plans them as a partial
-WindowGroupLimit before the shuffle, so a hot group never ships more
-than k rows per map task).
+limits, which rank in hash buckets first (``ranking.top_k``), so no task
+sorts a hot group's whole word table.
 """
 
 from __future__ import annotations
@@ -11,13 +10,14 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..session import cut_lineage
+from .ranking import top_k
 
 PLATFORM = "source_platform"
 
@@ -36,8 +36,7 @@ def word_counts(df: DataFrame, text: str = "review_text", group: str = PLATFORM)
 
 def top_k_words(counts: DataFrame, k: int = lx.TOP_K_WORDS, group: str = PLATFORM) -> DataFrame:
     """The k most frequent words per group (ties: word ascending)."""
-    w = Window.partitionBy(group).orderBy(F.col("n").desc(), F.col("word"))
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top_k(counts, [group], [F.col("n").desc(), F.col("word")], k, ["word"])
 
 
 def word_distribution(df: DataFrame, text: str = "review_text", group: str = PLATFORM,
@@ -218,10 +217,11 @@ def kde_density(values: DataFrame, value: str, group: str = PLATFORM, grid: int
     """A10: Gaussian KDE per group on ``grid`` points from min - cut*h to
     max + cut*h (Scott bandwidth h = std * n^(-1/5)). Each row adds its
     kernel value to ``grid`` accumulators of one hash aggregate — no join
-    between grid and data."""
+    between grid and data. A group whose values are all equal (or one) has
+    no bandwidth and no rows in the result."""
     st = values.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
                                    F.min(value).alias("lo"), F.max(value).alias("hi"))
-    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2)) \
+    st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2)).filter("h > 0") \
         .withColumn("x0", F.col("lo") - cut * F.col("h")) \
         .withColumn("dx", (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (grid - 1))
     j = values.join(F.broadcast(st), group)  # one row per group

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -71,22 +71,28 @@ def split_allocation(df: DataFrame, strata: list[str], label: str = "sentiment_l
         .withColumn("label_id", F.try_element_at(lid, F.col(label)))
     w = Window.partitionBy(*strata)
     counts = counts.withColumn("_n", F.sum("n_c").over(w))
-    counts = counts.withColumn("_n_train", F.col("_n") - F.expr(f"(_n * {ha} + {hb - 1}) div {hb}").cast("long"))
+    counts = counts.withColumn("_n_train", F.col("_n") - _ceil_share("_n", ha, hb))
     a = _approx_mode(counts, strata, "n_c", "_n_train", "n_train")
     a = a.withColumn("_t", F.col("n_c") - F.col("n_train"))
     a = a.withColumn("_n_temp", F.sum("_t").over(w))
-    a = a.withColumn("_n_val", F.col("_n_temp") - F.expr(f"(_n_temp * {va} + {vb - 1}) div {vb}").cast("long"))
+    a = a.withColumn("_n_val", F.col("_n_temp") - _ceil_share("_n_temp", va, vb))
     a = _approx_mode(a, strata, "_t", "_n_val", "n_val")
     a = a.withColumn("n_test", F.col("_t") - F.col("n_val"))
     return a.select(*strata, label, "n_c", "n_train", "n_val", "n_test")
 
 
-def _as_fraction(x: float, max_den: int = 1000) -> tuple[int, int]:
+def _as_fraction(x: float) -> tuple[int, int]:
+    """The decimal number as written, exactly."""
     from fractions import Fraction
-    f = Fraction(x).limit_denominator(max_den)
+    f = Fraction(repr(x))
     return f.numerator, f.denominator
 
 
+def _ceil_share(n: str, a: int, b: int) -> Column:
+    """ceil(n * a / b) in decimals (a and b have up to 17 digits)."""
+    return F.expr(f"cast((cast({n} as decimal(19,0)) * {a}BD + {b - 1}BD) div {b}BD as bigint)")
+
+
 def stratified_split(df: DataFrame, strata: list[str] | None = None,
                      label: str = "sentiment_label", seed: int = lx.RANDOM_STATE,
                      keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -97,8 +103,11 @@ def stratified_split(df: DataFrame, strata: list[str] | None = None,
     ranked = hash_rank(keyed, strata + [label], "_h", list(keys), out="_rk")
     # allocation has one row per (stratum, class): bounded by the number of
     # platforms x conditions x 3 classes, so it is broadcast
-    j = ranked.join(F.broadcast(alloc.select(*strata, label, "n_train", "n_val")),
-                    strata + [label])
+    sizes = alloc.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(strata + [label])], "n_train", "n_val")
+    on = F.lit(True)
+    for i, c in enumerate(strata + [label]):
+        on = on & F.col(c).eqNullSafe(F.col(f"_a{i}"))
+    j = ranked.join(F.broadcast(sizes), on).drop(*[f"_a{i}" for i in range(len(strata) + 1)])
     split = (F.when(F.col("_rk") <= F.col("n_train"), "train")
              .when(F.col("_rk") <= F.col("n_train") + F.col("n_val"), "val")
              .otherwise("test"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from .lookup import small_side
+from .ranking import top_k
 
 PAD, UNK = 0, 1
 
@@ -17,14 +17,12 @@ def build_vocab(df: DataFrame, group: list[str], text: str = "review_text_clean"
     """Per group, <PAD>=0, <UNK>=1, then the max_vocab-2 most frequent
     tokens (ties: token ascending) with ids from 2.
 
-    The rank filter has a literal bound, so Spark keeps a partial top-k per
-    map task (WindowGroupLimit) before the shuffle. The result is bounded
-    by ``max_vocab`` rows per group, which is what lets lookups broadcast it.
+    ``top_k`` ranks in hash buckets first, so no task sorts a group's whole
+    word table. The result is bounded by ``max_vocab`` rows per group.
     """
     toks = df.select(*group, F.explode(tx.tokens(text)).alias("token"))
     counts = toks.groupBy(*group, "token").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*group).orderBy(F.col("n").desc(), F.col("token"))
-    top = counts.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_vocab - 2)
+    top = top_k(counts, group, [F.col("n").desc(), F.col("token")], max_vocab - 2, ["token"], out="_r")
     words = top.select(*group, "token", (F.col("_r") + 1).cast("int").alias("id"))
     specials = df.select(*group).distinct().select(
         *group, F.explode(F.array(F.struct(F.lit("<PAD>").alias("token"), F.lit(PAD).alias("id")),
@@ -39,12 +37,12 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, doc_keys: list[str], group: l
     right-padded with PAD, plus the attention mask and the real length.
 
     The vocabulary is bounded by ``max_vocab`` rows per group (W5), so the
-    lookup is a broadcast left join (behind a row check); ids are regrouped per document (at
-    most ``max_len`` rows each) in position order.
+    lookup is a left join that the planner broadcasts if it is small enough; ids are
+    regrouped per document (at most ``max_len`` rows each) in position order.
     """
     pos = df.select(*doc_keys, *group,
                     F.posexplode(F.slice(tx.tokens(text), 1, max_len)).alias("pos", "token"))
-    j = pos.join(small_side(vocab), group + ["token"], "left") \
+    j = pos.join(vocab, group + ["token"], "left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK)))
     ids = j.groupBy(*doc_keys, *group).agg(
         F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
@@ -60,9 +58,8 @@ def encode_tokens(df: DataFrame, vocab: DataFrame, doc_keys: list[str], group: l
 
 
 def vocab_lookup(tokens_df: DataFrame, vocab: DataFrame, on: list[str]) -> DataFrame:
-    """Token -> id with UNK default (broadcast after a row check; vocab
-    is bounded by max_vocab per group)."""
-    return tokens_df.join(small_side(vocab), on, "left") \
+    """Token -> id with UNK default (vocab is bounded by max_vocab per group)."""
+    return tokens_df.join(vocab, on, "left") \
         .withColumn("id", F.coalesce(F.col("id"), F.lit(UNK)))
 
 

@@ -85,14 +85,14 @@ WHERE source_platform = 'shopee' AND condition = 'proposed' AND split = 'test'""
 
 
 def _appended(spark, sf):
-    path = io.append_batches(fx.reviews(spark, sf), io.scratch_path(spark, "batches"), "review_id")
+    path, rows = io.scratch_path(spark, "batches"), fx.reviews(spark, sf)
+    for part in (0, 1):
+        io.append_rows(rows.filter(F.col("review_id") % 2 == part), path)
     return spark, path
 
 
-register("append_batches", W(sg.reviews_ctes(), f"""
-SELECT CAST((row_number() OVER (ORDER BY review_id) - 1) // {lx.BATCH_APPEND_ROWS} AS BIGINT) AS batch,
-       review_id FROM reviews"""))(
-    lambda spark, sf: (lambda sp: sp[0].read.parquet(sp[1]).select("batch", "review_id"))(_appended(spark, sf)))
+register("append_batches", W(sg.reviews_ctes(), "SELECT review_id, review_text FROM reviews"))(
+    lambda spark, sf: (lambda sp: sp[0].read.parquet(sp[1]).select("review_id", "review_text"))(_appended(spark, sf)))
 
 register("count_rows", W(sg.reviews_ctes(), "SELECT count(*) AS n_rows FROM reviews"))(
     lambda spark, sf: (lambda sp: io.count_rows(*sp))(_appended(spark, sf)))

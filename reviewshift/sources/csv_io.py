@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import curate
 from ..session import checkpoint_dir
@@ -32,14 +31,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _has_replacement_char(df: DataFrame) -> bool:
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    if not cols:
-        return False
+def _not_utf8(df: DataFrame) -> list[str]:
+    """Files of ``df`` that hold U+FFFD, which Spark puts for invalid UTF-8."""
     hit = F.lit(False)
-    for c in cols:
-        hit = hit | F.coalesce(F.col(c).contains("�"), F.lit(False))
-    return df.filter(hit).limit(1).count() > 0
+    for c in df.columns:
+        hit = hit | F.coalesce(F.col(f"`{c}`").contains("\ufffd"), F.lit(False))
+    return [r[0] for r in df.filter(hit).select("_metadata.file_path").distinct().collect()]
+
+
+def _missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
@@ -47,16 +48,19 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
     """Header CSV with quoted newlines, all columns as strings.
 
     A missing path gives None. Spark does not fail on invalid UTF-8, it
-    yields U+FFFD, so the latin-1 fallback is a re-read when any value
-    holds that character.
+    yields U+FFFD, so the latin-1 fallback re-reads the files that hold
+    that character, and those only.
     """
     try:
         df = spark.read.options(**CSV_READ).option("encoding", encoding).csv(path)
         df.schema  # noqa: B018  (resolves the path)
-    except AnalysisException:
-        return None
-    if fallback and encoding.upper().replace("-", "") == "UTF8" and _has_replacement_char(df):
-        df = spark.read.options(**CSV_READ).option("encoding", fallback).csv(path)
+    except AnalysisException as e:
+        if _missing(e):
+            return None
+        raise
+    if fallback and encoding.upper().replace("-", "") == "UTF8" and (bad := _not_utf8(df)):
+        again = spark.read.schema(df.schema).options(**CSV_READ).option("encoding", fallback).csv(bad)
+        df = df.filter(~F.col("_metadata.file_path").isin(bad)).unionByName(again)
     return df
 
 
@@ -103,16 +107,10 @@ def read_line_list(spark: SparkSession, path: str) -> DataFrame:
     return t.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
 
 
-def append_batches(df: DataFrame, path: str, order: str, batch_rows: int = lx.BATCH_APPEND_ROWS) -> str:
-    """Buffered appends of ``batch_rows`` rows, one partition folder per
-    batch, written in one job. Re-running a batch overwrites only its own
-    folder (dynamic partition overwrite), so a retried append is idempotent."""
-    from ..operators.ranking import hash_rank
-    key = F.lpad(F.col(order).cast("string"), 20, "0")
-    ranked = hash_rank(df.withColumn("_k", key), [], "_k", [order], out="_rk")
-    b = ranked.withColumn("batch", ((F.col("_rk") - 1) / batch_rows).cast("long")).drop("_k", "_rk")
-    (b.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch").parquet(path))
+def append_rows(df: DataFrame, path: str) -> str:
+    """Append a batch of rows to the stored table. The committer shows
+    a batch's files only when the whole batch is written."""
+    df.write.mode("append").parquet(path)
     return path
 
 
@@ -120,6 +118,8 @@ def count_rows(spark: SparkSession, path: str) -> DataFrame:
     """Stored records (not physical lines), 0 when nothing is stored."""
     try:
         df = spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return spark.range(1).select(F.lit(0).cast("long").alias("n_rows"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"))

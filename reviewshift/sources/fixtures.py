@@ -123,9 +123,8 @@ def landed_pages(spark: SparkSession, sf_dir: str, page_size: int = 50) -> DataF
     """Review pages as a crawler lands them: one record per (shop, requested
     rating, page) with the nested response; shop = product_name. Some items
     lack a product / rating / reviewer, some pages have no data envelope."""
-    from ..operators.ranking import hash_rank
-    r = reviews(spark, sf_dir).withColumn("_k", F.lpad(F.col("review_id").cast("string"), 20, "0"))
-    rk = hash_rank(r, ["product_name", "rating"], "_k", ["review_id"], out="rk").drop("_k")
+    from ..operators.ranking import range_rank
+    rk = range_rank(reviews(spark, sf_dir), ["product_name", "rating"], "review_id", out="rk")
     rk = rk.withColumn("page", ((F.col("rk") - 1) / page_size).cast("long") + 1)
     rid = F.col("review_id")
     item = F.struct(
