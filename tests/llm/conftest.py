@@ -5,7 +5,6 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import types as T
 
-from tests.conftest import scratch, spark  # noqa: F401
 
 AWKWARD = [
     (1, "Plain words of a first line.\nAnd then a second one, with more words."),
@@ -22,11 +21,11 @@ DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text"
 
 
 @pytest.fixture
-def awkward(spark):  # noqa: F811
+def awkward(spark):
     """Null ids and texts, empty and long texts, repeated rows, names that operators use."""
     return spark.createDataFrame([(*r, "s", 1, "sp", "h", "n", "sh") for r in AWKWARD], DOCS).repartition(3)
 
 
 @pytest.fixture
-def empty(spark):  # noqa: F811
+def empty(spark):
     return spark.createDataFrame([], DOCS)
