@@ -5,8 +5,8 @@ letters and words and those of the lines before and after it; a 2 x 2 table weig
 labels. Forward-backward gives each line's marginal of "good"; their mean, weighted by line length,
 goes through a logistic curve fitted on the same sample to a score from 0 to 1.
 
-``fit`` learns from a bounded sample of labelled rows: the ``max_docs`` rows of each label that
-come first by a hash of their text, and of each the first ``max_lines`` lines (as training data
+``fit`` learns from a bounded sample of labelled rows: the ``max_docs`` ids of each label that
+come first by a hash, and of each the first ``max_lines`` lines (as training data
 only; scores use whole texts). Each line of a training document has its document's label.
 
 Defined results: null and empty texts are one empty line and get a score. Null labels are not
@@ -185,20 +185,22 @@ def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float =
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", max_docs: int = 1500, max_lines: int = 60) -> LineCrf:
-    """A model of the ``max_docs`` first rows, by text hash, of each label: at most 2 x max_docs
-    texts of max_lines lines reach the driver. Equal texts count once."""
+    """A model of at most ``max_docs`` ids of each label, the first by a hash of the id. Of each,
+    ``max_lines`` lines and 400 x max_lines characters reach the driver; equal texts count once.
+    The ids are drawn from ``labels`` alone, so no text is shuffled to find its label."""
     marked = (labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
               .filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).groupBy("i").agg(F.max("y").alias("y")))
-    lines = F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), 1, max_lines)
-    known = (docs.filter(F.col(id_col).isNotNull())
-             .select(F.col(id_col).alias("i"), F.substring(F.array_join(lines, "\n"), 1, 400 * max_lines).alias("t"))
-             .join(marked, "i").select("t", "y", F.xxhash64("t").alias("h")))
-    texts, ys = [], []
-    for k in (0, 1):
-        rows = known.filter(F.col("y") == k).select("h", "t").distinct().orderBy("h", "t").limit(max_docs).collect()
-        texts += [r["t"] for r in rows]
-        ys += [k] * len(rows)
-    return train(texts, ys)
+    drawn = {r["i"]: k for k in (0, 1)
+             for r in marked.filter(F.col("y") == k).orderBy(F.xxhash64("i"), "i").limit(max_docs).collect()}
+    if not drawn:
+        return train([], [])
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in drawn], marked.select("i").schema))
+    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, max_lines)
+    rows = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(ids, "i", "left_semi")
+            .select("i", F.substring(F.array_join(lines, "\n"), 1, 400 * max_lines).alias("t"))
+            .groupBy("i").agg(F.min("t").alias("t")).collect())
+    once = sorted({(r["t"], drawn[r["i"]]) for r in rows})
+    return train([t for t, _ in once], [y for _, y in once])
 
 
 def add_scores(docs: DataFrame, model: LineCrf, text_col: str = "text", out: str = "score") -> DataFrame:

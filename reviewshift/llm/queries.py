@@ -22,8 +22,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.LineCrf:
     """A model of the labels outside the held-out fifth."""
-    seen = docs.filter(~held_out(F.col("doc_id")))
-    return quality.fit(seen, table(spark, sf_dir, "labels"))
+    return quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"))))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
