@@ -145,12 +145,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_distance: int = 2) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id (nulls last), of
     rows that repeat it one. All columns stay as they are."""
-    th, rid = "_text_hash", "_kept_id"
-    found = near_duplicates(docs, id_col, text_col, shingle, max_distance,
-                            keys={th: F.xxhash64(F.col(text_col), F.length(text_col))})
+    th, rid = "_text_hash", "_row_id"  # keys without nulls: one shuffle of the texts serves both steps
+    written = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
+    text_hash = F.xxhash64(F.col(text_col), F.length(text_col))
+    found = near_duplicates(docs, id_col, text_col, shingle, max_distance, keys={th: text_hash})
     kept = (found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", th)).alias("k"))
-            .select(F.col("k.id").alias(rid), F.col(f"k.{th}").alias(th)))
-    tagged = docs.withColumn(th, F.xxhash64(F.col(text_col), F.length(text_col)))
-    once = tagged.dropDuplicates([id_col, th])
-    on = once[id_col].eqNullSafe(kept[rid]) & (once[th] == kept[th])
-    return once.join(kept, on, "left_semi").select(*docs.columns)
+            .select(F.col("k.id").alias("id"), F.col(f"k.{th}").alias(th)).select(written.alias(rid), th))
+    own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
+    once = docs.withColumn(rid, own).withColumn(th, text_hash).dropDuplicates([rid, th])
+    return once.join(kept, [rid, th], "left_semi").select(*docs.columns)
