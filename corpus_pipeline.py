@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewshift.llm import bpe, decontaminate, quality, secrets, simhash
-from reviewshift.llm.common import free_name, stage_table, table
+from reviewshift.llm.common import columns_of, free_name, stage_table, table
 from reviewshift.llm.queries import BPE_FILE, KEEP_SCORE, fitted_quality
 
 
@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier does not reject."""
     score = free_name(docs, "score")
     scored = quality.add_scores(docs, fitted_quality(spark, docs, sf_dir), out=score)
-    return scored.filter(F.col(score) >= KEEP_SCORE).select(*docs.columns)
+    return scored.filter(F.col(score) >= KEEP_SCORE).select(*columns_of(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long"))
                                  .otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+    return clean.select(*columns_of(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names (a dot in one is no struct field)."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
                    new: dict[str, T.DataType], inputs: dict[str, str]) -> DataFrame:
     """All of ``df`` plus the columns that ``fn`` computes from each Arrow batch.
@@ -46,9 +51,8 @@ def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Ar
     of ``df`` that is called like a new one is replaced. No shuffle: rows stay where they are.
     """
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
-    held = {k: free_name(df, f"__{k}") for k in inputs}
-    wide = df.select(*(F.col(f"`{c}`") for c in kept),
-                     *(F.col(f"`{inputs[k]}`").alias(held[k]) for k in inputs))
+    # by place: a Python stage can't read columns with a dot in their name
+    wide = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*kept, *inputs.values()])))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new.items()])
     n_kept, reads, names = len(kept), list(inputs), list(new)
 

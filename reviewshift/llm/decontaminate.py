@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, stage_table, texts_of
+from .common import append_columns, columns_of, free_name, stage_table, texts_of
 
 K1, B = 1.2, 0.75
 BLOCK = 16          # item numbers of a block
@@ -195,7 +195,7 @@ def add_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", out: str
     """``docs`` plus an array of HIT structs, best passage of each leaked item. No shuffle of ``docs``."""
     parts: list[str] = []
     for k, index in enumerate(build(items, item_id, item_text, shard_postings)):
-        shared, name = docs.sparkSession.sparkContext.broadcast(index), f"{out}_{k}"
+        shared, name = docs.sparkSession.sparkContext.broadcast(index), free_name(docs, f"{out}_{k}")
 
         def run(b: pa.RecordBatch, shared=shared, name=name) -> dict[str, pa.Array]:
             own = shared.value
@@ -218,4 +218,5 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that leak an item."""
-    return add_hits(docs, items, text_col, "_leaks", **how).filter(F.size("_leaks") == 0).select(*docs.columns)
+    out = free_name(docs, "_leaks")
+    return add_hits(docs, items, text_col, out, **how).filter(F.size(out) == 0).select(*columns_of(docs))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, stage_table
+from .common import append_columns, columns_of, free_name, stage_table
 
 SEGMENTS, SEGMENT_BITS, SEED = 2, 32, 42
 CHUNK = 65_536  # hashes whose bits are counted at once
@@ -145,7 +145,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
              max_distance: int = 2) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest id (nulls last), of
     rows that repeat it one. All columns stay as they are."""
-    th, rid = "_text_hash", "_row_id"  # keys without nulls: one shuffle of the texts serves both steps
+    # keys without nulls: one shuffle of the texts serves both steps
+    th, rid = free_name(docs, "_text_hash"), free_name(docs, "_row_id")
     written = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit(""))
     text_hash = F.xxhash64(F.col(text_col), F.length(text_col))
     found = near_duplicates(docs, id_col, text_col, shingle, max_distance, keys={th: text_hash})
@@ -153,4 +154,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             .select(F.col("k.id").alias("id"), F.col(f"k.{th}").alias(th)).select(written.alias(rid), th))
     own = F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit(""))
     once = docs.withColumn(rid, own).withColumn(th, text_hash).dropDuplicates([rid, th])
-    return once.join(kept, [rid, th], "left_semi").select(*docs.columns)
+    return once.join(kept, [rid, th], "left_semi").select(*columns_of(docs))

@@ -79,3 +79,13 @@ def test_awkward_rows(spark, empty):
     assert cp.STAGES[-1][1](spark, docs, SF_CHECK).count() == len(rows)
     for name, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF_CHECK).count() == 0, name
+
+
+def test_columns_with_names_of_the_operators_stay(spark):
+    """Names that the stages use themselves, and a dotted one."""
+    rows = [(1, "one two three four five six", "a", "b", "c", "d", "e"), (2, "", "f", "g", "h", "i", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_hash string, _row_id string, _leaks string, "
+                                       "_leaks_0 string, `a.b` string")
+    for stage in (cp.near_duplicate_stage, cp.decontamination_stage, cp.secret_stage):
+        done = stage(spark, docs, SF_CHECK)
+        assert done.schema == docs.schema and sorted(map(tuple, done.collect())) == rows
