@@ -38,21 +38,43 @@ ALLOW = (r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA
          r"(?i)0123456789|abcdefghij", r"^[0-9+/_=-]+$")
 KINDS = tuple(r[0] for r in RULES) + ("entropy",)
 SPAN = "struct<start:int,kind:int,end:int>"
+CHUNK = 256  # matches over which an array grows step by step
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _chunks(items: Column) -> Column:
+    """``items`` (a bound name) in arrays of CHUNK."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)),
+                       lambda i: F.slice(items, i + 1, CHUNK))
+
+
+def _before(values: Column, plus) -> Column:
+    """For each of ``values`` (ints of 0 or more) the earlier ones put together by ``plus``, 0
+    with none. An array that grows is copied at each step, so it only grows over a chunk of values
+    and over the totals of the chunks."""
+    def walk(first: Column, own: Column) -> Column:
+        return F.aggregate(
+            own, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+            lambda acc: acc["out"])
+
+    return _let(values, lambda v: _let(_chunks(v), lambda cs: F.flatten(F.zip_with(
+        walk(F.lit(0), F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, x: plus(a, x)))), cs, walk))))
 
 
 def _located(text: Column, pattern: str) -> Column:
     """Array of struct(start, m) of the matches of ``pattern``, from the texts between them."""
-    empty = F.array().cast("array<struct<start:int,m:string>>")
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["gap"])).alias("start"), x["m"].alias("m"))))).alias("out")),
-        lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    placed = _let(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda z: F.zip_with(
+        z, _before(F.transform(z, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))),
+                   lambda a, n: a + n),
+        lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), x["m"].alias("m"))))
+    return F.when(text.rlike(pattern), F.filter(placed, lambda x: x["m"].isNotNull())).otherwise(
+        F.array().cast("array<struct<start:int,m:string>>"))
 
 
 def _spans(located: Column, kind: int, keep) -> Column:
@@ -94,6 +116,28 @@ def window_entropy(run: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda acc: acc["best"])
 
 
+def _apart(runs: Column, base: Column) -> Column:
+    """Those of the disjoint ``runs`` (start, m) that meet no span of ``base``: in the order of
+    starts, no earlier span ends behind a run's start and the next span starts behind its end."""
+    event = "array<struct<start:int,run:int,end:int,m:string>>"
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"], F.lit(0), b["end"], F.lit(None))).cast(event),
+        F.transform(runs, lambda x: F.struct(x["start"], F.lit(1), x["start"] + F.length(x["m"]), x["m"])).cast(event)))
+
+    def swept(es):
+        ends = _before(F.transform(es, lambda e: F.when(e["run"] == 0, e["end"]).otherwise(F.lit(0))), F.greatest)
+        after = F.concat(F.slice(es, 2, F.greatest(F.size(es), F.lit(1))), F.array(F.lit(None).cast(event[6:-1])))
+        met = F.zip_with(ends, after, lambda end, nxt: F.struct(end.alias("end"), nxt.alias("nxt")))
+        return F.zip_with(es, met, lambda e, o: F.struct(
+            e["start"].alias("start"), e["m"].alias("m"),
+            ((e["run"] == 1) & (o["end"] <= e["start"])
+             & ~F.coalesce((o["nxt"]["run"] == 0) & (o["nxt"]["start"] < e["end"]), F.lit(False))).alias("free")))
+
+    return F.when(F.size(base) == 0, runs).otherwise(F.transform(
+        F.filter(_let(events, swept), lambda x: x["free"]),
+        lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"))))
+
+
 def entropy_spans(text: Column, base: Column) -> Column:
     def keep(x):
         run, kind = x["m"], None
@@ -102,10 +146,10 @@ def entropy_spans(text: Column, base: Column) -> Column:
         allowed = F.lit(False)
         for pattern in ALLOW:
             allowed = allowed | run.rlike(pattern)
-        inside = F.exists(base, lambda b: (b["start"] < x["start"] + F.length(run)) & (b["end"] > x["start"]))
-        return ~inside & ~allowed & (F.length(run) >= WINDOW) & (window_entropy(run) >= kind)
+        return ~allowed & (F.length(run) >= WINDOW) & (window_entropy(run) >= kind)
 
-    return _spans(_located(text, CANDIDATE), len(RULES), keep)
+    return _let(_located(text, CANDIDATE), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{SPAN}>"))
+                .otherwise(_spans(_apart(runs, base), len(RULES), keep)))
 
 
 def scan(docs: DataFrame, text_col: str = "text", base: str = "base_spans", every: str = "spans") -> DataFrame:
@@ -125,13 +169,18 @@ def written(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """``text`` with each stretch that sorted ``spans`` cover replaced by ``mask``."""
-    walked = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= acc["at"],
-                   F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))
-            .otherwise(acc["out"]).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """``text`` with each stretch that sorted ``spans`` cover replaced by ``mask``. A chunk of spans
+    is masked within its own stretch of the text, as each cut counts letters from the front."""
+    def chunk(c):
+        first, last = F.get(c, F.lit(0))["at"], F.element_at(c, -1)
+        own = F.substring(text, first + 1, F.greatest(last["at"], last["end"]) - first)
+        return _let(own, lambda part: F.array_join(F.transform(c, lambda s: F.when(
+            s["start"] >= s["at"],
+            F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask))).otherwise("")), ""))
+
+    placed = F.zip_with(spans, _before(F.transform(spans, lambda s: s["end"]), F.greatest), lambda s, at: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
+    rest = F.array_max(F.transform(spans, lambda s: s["end"]))
+    walked = F.concat(_let(placed, lambda p: F.array_join(F.transform(_chunks(p), chunk), "")),
+                      F.substring(text, rest + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(walked)
