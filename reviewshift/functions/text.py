@@ -218,6 +218,13 @@ def snippet(c, n: int = 80) -> Column:
     return F.substring(_c(c), 1, n)
 
 
+DATE_FORMATS = ("yyyy/M/d", "yyyy/M/d H:m:s", "M/d/yyyy", "M/d/yyyy H:m:s", "d MMM yyyy", "d MMMM yyyy",
+                "MMM d, yyyy", "MMMM d, yyyy")
+
+
 def normalize_date(c) -> Column:
-    """Parse a timestamp-like string -> yyyy-MM-dd, else null."""
-    return F.date_format(F.try_to_timestamp(_c(c)), "yyyy-MM-dd")
+    """Parse a timestamp-like string -> yyyy-MM-dd, else null. ISO forms first, then
+    DATE_FORMATS in order; of 1/5/2024 the month is the first number."""
+    s = _c(c)
+    return F.date_format(F.coalesce(F.try_to_timestamp(s), *[
+        F.try_to_timestamp(F.trim(s), F.lit(f)) for f in DATE_FORMATS]), "yyyy-MM-dd")

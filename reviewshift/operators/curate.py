@@ -99,8 +99,8 @@ def dedup_first(df: DataFrame, key: str = "review_text",
                 order: tuple[str, ...] = ORDER_COLS) -> DataFrame:
     """Exact duplicates of ``key``: keep the first row in concat order.
 
-    A hash aggregate of ``min(struct(order..., rest...))`` is combined
-    map-side, so a text repeated in a third of all rows shrinks to one
+    ``min(struct(order..., rest...))`` is combined map-side (a sort
+    aggregate, as the struct is not of fixed width), so a text repeated in a third of all rows shrinks to one
     row per map task before the shuffle (a row_number window would sort
     the whole hot group in one task).
     """

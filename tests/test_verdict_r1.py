@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from reviewshift.functions import text as tx
 from reviewshift.operators import curate, model, quota, ranking, shift, splits, vocab
 from reviewshift.sources import csv_io as io
 from reviewshift.streaming import stream as st
@@ -116,3 +117,10 @@ def test_kde_leaves_constant_groups_out(spark):
 def test_defaults_keep_column_types(spark):
     df = spark.createDataFrame([(None, None)], "review_text string, rating int")
     assert dict(curate.fill_defaults(df).dtypes)["rating"] == "int"
+
+
+def test_lenient_dates(spark):
+    want = {"2024-01-05 10:00:00": "2024-01-05", "5 Jan 2024": "2024-01-05", "01/05/2024": "2024-01-05",
+            "January 5, 2024": "2024-01-05", "2024/1/5 7:08:09": "2024-01-05", "13/13/2024": None, "soon": None, "": None}
+    df = spark.createDataFrame([(d,) for d in want], "d string").select("d", tx.normalize_date("d").alias("got"))
+    assert {r.d: r.got for r in df.collect()} == want
