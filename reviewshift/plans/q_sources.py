@@ -133,13 +133,17 @@ register("adapt_product_review", W(ADAPTED_CTES, "SELECT * FROM a_prod"))(
     lambda spark, sf: ad.adapt_product_review(fx.product_review_rows(spark, sf)))
 
 register("union_sources", W(ADAPTED_CTES + [("u", """
-SELECT *, 0 AS source_seq FROM a_app UNION ALL SELECT *, 1 FROM a_bin UNION ALL SELECT *, 2 FROM a_prod""")], f"""
+SELECT *, 0 AS source_seq FROM a_app UNION ALL SELECT *, 1 FROM a_bin UNION ALL SELECT *, 2 FROM a_prod
+UNION ALL SELECT text, CAST(item_id % 5 + 1 AS INTEGER), 'shopee_cod', strftime(DATE '2024-01-01' + CAST(item_id % 28 AS INTEGER), '%Y-%m-%d'),
+                 concat('b', item_id), 'shopee', item_id, 3 FROM benchmark""")], f"""
 SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY review_text ORDER BY source_seq, row_seq) AS rn FROM u
   WHERE review_text IS NOT NULL AND {sg.strip('review_text')} <> '') WHERE rn = 1"""))(
-    lambda spark, sf: ad.union_sources([ad.adapt_appstore(fx.appstore_rows(spark, sf)),
-                                        ad.adapt_binary_label(fx.binary_label_rows(spark, sf)),
-                                        ad.adapt_product_review(fx.product_review_rows(spark, sf))]))
+    lambda spark, sf: ad.union_sources(ad.load_sources({
+        "app store": lambda: ad.adapt_appstore(fx.appstore_rows(spark, sf)),
+        "marketplace": lambda: ad.adapt_binary_label(fx.binary_label_rows(spark, sf)),
+        "product reviews": lambda: ad.adapt_product_review(fx.product_review_rows(spark, sf)),
+        "cash on delivery": lambda: ad.adapt_appstore(fx.cod_rows(spark, sf), "shopee_cod")})))
 
 # --- S8, S9, S10 -------------------------------------------------------------------------
 PAGES_ORACLE = W(sg.reviews_ctes() + [("rk", """

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from ..functions import text as tx
 from ..operators import curate
 
 
+log = logging.getLogger(__name__)
+
+
 def _raw(text, rating, product, date, reviewer, platform="shopee") -> list:
     return [text.alias("review_text"), rating.alias("rating"), F.lit(product).alias("product_name"),
             date.alias("review_date"), reviewer.alias("reviewer_name"), F.lit(platform).alias("source_platform")]
@@ -38,10 +44,25 @@ def adapt_product_review(df: DataFrame, product: str = "shopee_product") -> Data
                            F.coalesce(F.col("username"), F.lit("anonymous"))), *keep)
 
 
+def load_sources(loaders: dict[str, Callable[[], DataFrame]]) -> list[DataFrame]:
+    """The sources that can be read, in order. One whose path or columns are missing is
+    reported and left out; faults in its rows are not met here, as nothing is run."""
+    frames = []
+    for name, load in loaders.items():
+        try:
+            df = load()
+            df.schema  # noqa: B018  (resolves paths and columns)
+        except AnalysisException as e:
+            log.warning("source %s left out: %s", name, e)
+            continue
+        frames.append(df)
+    return frames
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
     """Concat the adapted sources in list order (source_seq = position),
     drop null/blank texts, keep the first copy of each text, rating as int.
-    A source that failed to load is simply not in ``frames``."""
+    A source that failed to load is not in ``frames`` (``load_sources``)."""
     if not frames:
         raise ValueError("no source could be loaded")
     tagged = [f.withColumn("source_seq", F.lit(i)) for i, f in enumerate(frames)]

@@ -190,6 +190,15 @@ def appstore_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("doc_id").alias("row_seq"))
 
 
+def cod_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """App-store shaped rows of a second data set, with dates in words."""
+    b = table(spark, sf_dir, "benchmark")
+    return b.select(F.col("text").alias("content"), (F.col("item_id") % 5 + 1).cast("int").alias("score"),
+                    F.concat((F.col("item_id") % 28 + 1).cast("string"), F.lit(" Jan 2024")).alias("at"),
+                    F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("userName"),
+                    F.col("item_id").alias("row_seq"))
+
+
 def binary_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     lab = table(spark, sf_dir, "labels")

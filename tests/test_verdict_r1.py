@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewshift.functions import text as tx
 from reviewshift.operators import curate, model, quota, ranking, shift, splits, vocab
+from reviewshift.sources import adapters
 from reviewshift.sources import csv_io as io
 from reviewshift.streaming import stream as st
 
@@ -124,3 +125,13 @@ def test_lenient_dates(spark):
             "January 5, 2024": "2024-01-05", "2024/1/5 7:08:09": "2024-01-05", "13/13/2024": None, "soon": None, "": None}
     df = spark.createDataFrame([(d,) for d in want], "d string").select("d", tx.normalize_date("d").alias("got"))
     assert {r.d: r.got for r in df.collect()} == want
+
+
+def test_a_failing_source_is_left_out(spark, caplog):
+    good = spark.createDataFrame([("fine", 5, "5 Jan 2024", "u", 1)], "content string, score int, at string, userName string, row_seq long")
+    got = adapters.load_sources({
+        "no file": lambda: adapters.adapt_appstore(spark.read.parquet("/no/such/table")),
+        "no column": lambda: adapters.adapt_appstore(good.drop("score")),
+        "good": lambda: adapters.adapt_appstore(good)})
+    assert len(got) == 1 and got[0].first().review_date == "2024-01-05"
+    assert [r.args[0] for r in caplog.records if r.name == adapters.__name__] == ["no file", "no column"]
