@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..session import cut_lineage
 from .ranking import top_k
 
 
@@ -39,8 +40,18 @@ def quota_fill(collected: DataFrame, shop: str, rating: str,
 def running_total(fill: DataFrame, shop: str, rating: str,
                   quota: dict[int, int] = lx.RATING_QUOTA) -> DataFrame:
     """Cumulative rows collected in crawl order (shops in order, ratings
-    in quota order). Runs over the small (shop x rating) summary only."""
-    order = F.create_map(*[F.lit(x) for i, r in enumerate(quota) for x in (r, i)])
-    w = Window.orderBy(F.col(shop), F.try_element_at(order, F.col(rating))) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    return fill.withColumn("running_total", F.sum("collected").over(w))
+    in quota order). Totals run inside ranges of shops, and each range adds
+    the sum of the ranges before it, so no task sorts all shops. The window
+    without partitions is over one row a range."""
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(quota) for x in (r, i)])
+    placed = fill.withColumn("_place", F.try_element_at(place, F.col(rating)))
+    # written, so that a range keeps its number whoever reads it
+    ranges = cut_lineage(placed.repartitionByRange(F.col(shop), F.col("_place"))
+                         .withColumn("_range", F.spark_partition_id()), "shop-ranges", spread_out=False)
+    inside = Window.partitionBy("_range").orderBy(shop, "_place").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("_range").agg(F.sum("collected").alias("_sum")) \
+        .select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    return (ranges.withColumn("running_total", F.sum("collected").over(inside)).join(offsets, "_range")
+            .withColumn("running_total", F.col("running_total") + F.col("_before"))
+            .drop("_range", "_place", "_before"))

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,54 +145,53 @@ def vocab_oov_rate(df: DataFrame, text: str = "review_text", group: str = PLATFO
 PIECE_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + tx.WS + r"]"
 
 
-def wordpiece_count(word: str, vocab: set[str], max_chars: int = 100) -> int:
-    """Greedy longest-match-first sub-word count of one word ("##" marks
-    a continuation piece); a word that cannot be covered counts 1 ([UNK])."""
-    if len(word) > max_chars:
-        return 1
-    n, start = 0, 0
-    while start < len(word):
-        end = len(word)
-        while end > start:
-            piece = word[start:end] if start == 0 else "##" + word[start:end]
-            if piece in vocab:
-                break
-            end -= 1
-        if end == start:
-            return 1
-        n += 1
-        start = end
-    return n
+def wordpiece_counts(words: DataFrame, vocab: DataFrame, max_chars: int = 100) -> DataFrame:
+    """(word, n_pieces): greedy longest-match-first sub-word pieces of each
+    distinct ``word`` against ``vocab(piece)`` ("##" marks a continuation
+    piece). A word that cannot be covered, or one of more than ``max_chars``
+    characters (the usual bound of such tokenizers), is one unknown piece.
+
+    All cuts of a word are joined with the vocabulary; of those found, the
+    longest at each place is kept and walked from the front. The planner
+    broadcasts the vocabulary where its size allows.
+    """
+    at, size = F.col("at"), F.col("size")
+    cuts = (words.filter(F.length("word").between(1, max_chars))
+            .select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
+            .select("word", "at", F.explode(F.sequence(F.lit(1), F.length("word") - at + 1)).alias("size"))
+            .select("word", "at", "size", F.concat(F.when(at > 1, "##").otherwise(""),
+                                                   F.substring(F.col("word"), at, size)).alias("piece")))
+    found = (cuts.join(vocab.select("piece").distinct(), "piece").groupBy("word", "at").agg(F.max("size").alias("size"))
+             .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("longest")))
+
+    def step(acc, i):
+        long = F.try_element_at(F.col("longest"), i)
+        here = (acc["at"] == i) & long.isNotNull()
+        return F.struct(F.when(here, i + long).otherwise(acc["at"]).alias("at"),
+                        F.when(here, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.length("word")),
+                         F.struct(F.lit(1).alias("at"), F.lit(0).alias("n")), step,
+                         lambda acc: F.when(acc["at"] > F.length("word"), acc["n"]).otherwise(1))
+    return words.join(found.select("word", walked.alias("n")), "word", "left") \
+        .select("word", F.coalesce("n", F.lit(1)).alias("n_pieces"))
 
 
 def fragmentation_ratio(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "review_text",
-                        max_vocab_rows: int = 1_000_000) -> DataFrame:
+                        max_chars: int = 100) -> DataFrame:
     """Sub-word pieces / whitespace words per text (0 for no words).
 
     Pieces come from a BERT-style pre-split (words and single punctuation
-    marks) and greedy longest match against ``vocab(piece)``. Only the
-    distinct words go through the Python matcher (``mapInPandas``); the
-    vocabulary is broadcast after a row-count check.
+    marks) and greedy longest match against ``vocab(piece)``, once for each
+    distinct word.
     """
-    n_vocab = vocab.limit(max_vocab_rows + 1).count()
-    if n_vocab > max_vocab_rows:
-        raise ValueError(f"vocabulary larger than {max_vocab_rows} rows")
-    pieces = set(r[0] for r in vocab.select("piece").collect())
-    bc = df.sparkSession.sparkContext.broadcast(pieces)
     low = F.lower(F.col(text))
     per_text = df.select(*key, tx.token_count(text).alias("n_words"),
                          F.regexp_extract_all(low, F.lit(PIECE_RE), 0).alias("_w"))
-    exploded = per_text.select(*key, F.explode("_w").alias("word"))
-    distinct = exploded.select("word").distinct()
-
-    def count_pieces(it):
-        vs = bc.value
-        for pdf in it:
-            yield pd.DataFrame({"word": pdf["word"],
-                                "n_pieces": [wordpiece_count(w, vs) for w in pdf["word"]]})
-
-    wp = distinct.mapInPandas(count_pieces, "word string, n_pieces int")
-    sums = exploded.join(wp, "word").groupBy(*key).agg(F.sum("n_pieces").alias("n_pieces"))
+    counted = per_text.select(*key, F.explode("_w").alias("word")) \
+        .groupBy(*key, "word").agg(F.count(F.lit(1)).alias("_n"))
+    wp = wordpiece_counts(counted.select("word").distinct(), vocab, max_chars)
+    sums = counted.join(wp, "word").groupBy(*key).agg(F.sum(F.col("_n") * F.col("n_pieces")).alias("n_pieces"))
     out = per_text.drop("_w").join(sums, key, "left")
     return out.select(*key, "n_words", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"),
                       F.when(F.col("n_words") > 0, F.coalesce("n_pieces", F.lit(0)) / F.col("n_words"))
@@ -215,8 +213,8 @@ def default_piece_vocab(df: DataFrame, text: str = "review_text", max_words: int
 def kde_density(values: DataFrame, value: str, group: str = PLATFORM, grid: int = 200,
                 cut: float = 3.0, digits: int = 6) -> DataFrame:
     """A10: Gaussian KDE per group on ``grid`` points from min - cut*h to
-    max + cut*h (Scott bandwidth h = std * n^(-1/5)). Each row adds its
-    kernel value to ``grid`` accumulators of one hash aggregate — no join
+    max + cut*h (Scott bandwidth h = std * n^(-1/5)). Each distinct value adds
+    its kernel value, times its rows, to ``grid`` accumulators of one hash aggregate — no join
     between grid and data. A group whose values are all equal (or one) has
     no bandwidth and no rows in the result."""
     st = values.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(value).alias("sd"),
@@ -224,10 +222,11 @@ def kde_density(values: DataFrame, value: str, group: str = PLATFORM, grid: int
     st = st.withColumn("h", F.col("sd") * F.pow(F.col("n"), -0.2)).filter("h > 0") \
         .withColumn("x0", F.col("lo") - cut * F.col("h")) \
         .withColumn("dx", (F.col("hi") - F.col("lo") + 2 * cut * F.col("h")) / (grid - 1))
-    j = values.join(F.broadcast(st), group)  # one row per group
+    alike = values.groupBy(group, value).agg(F.count(F.lit(1)).alias("_m"))
+    j = alike.join(F.broadcast(st), group)  # one row per group
     x = lambda i: F.col("x0") + i * F.col("dx")
     sums = j.groupBy(group, "n", "h", "x0", "dx").agg(
-        *[F.sum(F.exp(-0.5 * F.pow((x(i) - F.col(value)) / F.col("h"), 2))).alias(f"k{i}")
+        *[F.sum(F.col("_m") * F.exp(-0.5 * F.pow((x(i) - F.col(value)) / F.col("h"), 2))).alias(f"k{i}")
           for i in range(grid)])
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     arr = F.array(*[F.struct(F.lit(i).alias("i"), x(i).alias("x"), (F.col(f"k{i}") / norm).alias("density"))
@@ -238,4 +237,4 @@ def kde_density(values: DataFrame, value: str, group: str = PLATFORM, grid: int
 
 __all__ = ["words", "word_counts", "top_k_words", "word_distribution", "align_distributions",
            "jensen_shannon", "token_length_describe", "token_length_boxplot", "vocab_oov_rate",
-           "fragmentation_ratio", "default_piece_vocab", "kde_density", "wordpiece_count", "T", "Column"]
+           "fragmentation_ratio", "default_piece_vocab", "kde_density", "wordpiece_counts", "T", "Column"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..operators import shift, splits, vocab
+from ..session import cut_lineage
 from . import experiment as ex
 from . import sqlgen as sg
 from .registry import register
@@ -40,6 +41,11 @@ def _master(spark, sf):
     return ex.master(spark, sf)
 
 
+def _keyed_master(spark, sf, *cols):
+    """The master's keys and ``cols``, written once: sampling reads them several times."""
+    return cut_lineage(_master(spark, sf).select("source_platform", *ex.DOC_KEYS, *cols), "keyed-master")
+
+
 register("word_counts", W(WC_CTES, "SELECT source_platform, word, n FROM wc"))(
     lambda spark, sf: shift.word_counts(_master(spark, sf)))
 
@@ -181,7 +187,7 @@ SELECT row_seq AS review_id, source_platform FROM (
   SELECT *, row_number() OVER (PARTITION BY source_platform ORDER BY {sg.md5_key('source_seq', 'row_seq')},
                                source_seq, row_seq) AS rk FROM master) , tot
 WHERE rk <= least(5000, total // 2)"""))(
-    lambda spark, sf: splits.sample_per_group(_master(spark, sf))
+    lambda spark, sf: splits.sample_per_group(_keyed_master(spark, sf))
     .select(F.col("row_seq").alias("review_id"), "source_platform"))
 
 register("kfold_assign", W(S, f"""
@@ -195,18 +201,62 @@ SELECT source_platform, condition, sentiment_label, fold, count(*) AS n FROM (
     .groupBy(*GROUP, "sentiment_label", "fold").agg(F.count(F.lit(1)).alias("n")))
 
 
-# --- A9 / A10 (rows-only: the sub-word vocabulary is a parameter) ---------------------
+# --- A9 / A10 ---------------------------------------------------------------------------
 def _fragmentation(spark, sf):
-    m = _master(spark, sf)
-    sample = splits.sample_per_group(m)
-    pieces = shift.default_piece_vocab(m)
-    return shift.fragmentation_ratio(sample, pieces, ["source_platform", "row_seq"])
+    m = _keyed_master(spark, sf, "review_text")
+    pieces = cut_lineage(shift.default_piece_vocab(m), "pieces", spread_out=False)
+    return shift.fragmentation_ratio(splits.sample_per_group(m), pieces, ["source_platform", "row_seq"])
 
 
-register("fragmentation_ratio")(
+# the same greedy matcher as a recursive walk over the longest piece at each place of a word
+FRAG_CTES = M + [
+    ("tot", "SELECT count(*) AS total FROM master"),
+    ("sampled", f"""
+SELECT source_platform, row_seq, {sg.token_count('review_text')} AS n_words,
+       regexp_extract_all(lower(review_text), {sg.q(shift.PIECE_RE)}) AS w FROM (
+  SELECT *, row_number() OVER (PARTITION BY source_platform ORDER BY {sg.md5_key('source_seq', 'row_seq')},
+                               source_seq, row_seq) AS rk FROM master), tot
+WHERE rk <= least(5000, total // 2)"""),
+    ("pw", f"SELECT unnest(regexp_extract_all(lower(review_text), {sg.q(shift.PIECE_RE)})) AS piece FROM master"),
+    ("chars", "SELECT DISTINCT unnest(regexp_extract_all(lower(review_text), '(?s).')) AS c FROM master"),
+    ("vocab", f"""
+SELECT piece FROM (SELECT piece FROM pw GROUP BY piece ORDER BY count(*) DESC, piece LIMIT {lx.MAX_VOCAB})
+UNION SELECT c FROM chars UNION SELECT concat('##', c) FROM chars"""),
+    ("occ", "SELECT source_platform, row_seq, unnest(w) AS word FROM sampled"),
+    ("types", "SELECT DISTINCT word FROM occ"),
+    ("places", "SELECT word, unnest(range(1, length(word) + 1)) AS pos FROM types WHERE length(word) <= 100"),
+    ("cuts", "SELECT word, pos, unnest(range(1, length(word) - pos + 2)) AS size FROM places"),
+    ("longest", """
+SELECT word, pos, max(size) AS size FROM cuts
+JOIN vocab ON piece = concat(CASE WHEN pos > 1 THEN '##' ELSE '' END, substring(word, pos, size)) GROUP BY word, pos"""),
+    ("walk(word, pos, n)", """
+SELECT word, CAST(1 AS BIGINT), 0 FROM types
+UNION ALL
+SELECT walk.word, walk.pos + l.size, walk.n + 1 FROM walk JOIN longest l ON l.word = walk.word AND l.pos = walk.pos"""),
+    ("wp", "SELECT word, coalesce(max(CASE WHEN pos = length(word) + 1 THEN n END), 1) AS n_pieces FROM walk GROUP BY word"),
+    ("sums", "SELECT source_platform, row_seq, sum(n_pieces) AS n_pieces FROM occ JOIN wp USING (word) GROUP BY ALL"),
+    ("frag", """
+SELECT source_platform, CASE WHEN n_words > 0 THEN coalesce(n_pieces, 0) / n_words ELSE 0.0 END AS v
+FROM sampled LEFT JOIN sums USING (source_platform, row_seq)"""),
+]
+KDE_CTES = FRAG_CTES + [
+    ("moments", """
+SELECT source_platform, count(*) AS m, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi
+FROM frag GROUP BY ALL"""),
+    ("line", """
+SELECT source_platform, m, h, i, lo - 3.0 * h + i * ((hi - lo + 6.0 * h) / 199) AS x
+FROM moments, (SELECT unnest(range(200)) AS i) WHERE h > 0"""),
+]
+
+register("fragmentation_ratio", W(FRAG_CTES, """
+SELECT source_platform, round(avg(v), 6) AS mean_fragmentation, count(*) AS n FROM frag GROUP BY ALL""",
+                                  recursive=True))(
     lambda spark, sf: _fragmentation(spark, sf).groupBy("source_platform")
     .agg(F.round(F.avg("fragmentation_ratio"), 6).alias("mean_fragmentation"),
          F.count(F.lit(1)).alias("n")))
 
-register("fragmentation_density")(
+register("fragmentation_density", W(KDE_CTES, """
+SELECT source_platform, CAST(i AS INTEGER) AS i, round(x, 6) AS x,
+       round(sum(exp(-0.5 * pow((x - v) / h, 2))) / (any_value(m) * any_value(h) * sqrt(2 * pi())), 6) AS density
+FROM line JOIN frag USING (source_platform) GROUP BY source_platform, i, x""", recursive=True))(
     lambda spark, sf: shift.kde_density(_fragmentation(spark, sf), "fragmentation_ratio"))

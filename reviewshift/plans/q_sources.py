@@ -20,17 +20,21 @@ RAW_COLS = list(lx.REQUIRED_COLUMNS)
 
 # --- S1, S6, S11, S12, S13, S2, S14, S15 ---------------------------------------------
 def _csv_roundtrip(spark, sf):
-    raw = fx.raw_reviews(spark, sf)
-    path = io.write_csv(raw.select(*RAW_COLS, F.col("row_seq").alias("review_id")),
-                        io.scratch_path(spark, "reviews-csv"))
-    back = io.read_csv(spark, path)
-    conf = io.curate.conform_platform(io.curate.null_na_tokens(back).withColumn("row_seq", F.col("review_id")
-                                                                                .cast("long")))
-    return conf.select(F.col("row_seq").alias("review_id"), *RAW_COLS)
+    """Files of both platforms with ratings as a pandas writer or a scraper leaves them."""
+    n, stars = F.col("row_seq"), F.col("rating").cast("string")
+    raw = fx.raw_reviews(spark, sf).withColumn("rating", F.when(n % 6 == 0, F.concat(stars, F.lit(".0")))
+                                               .when(n % 7 == 0, "abc").when(n % 11 == 0, None).otherwise(stars))
+    frames = []
+    for seq, platform in enumerate(("tokopedia", "shopee")):
+        rows = raw.filter(F.col("source_platform") == platform).select(*RAW_COLS)
+        path = io.write_csv(rows, io.scratch_path(spark, "reviews-csv"))
+        frames.append(io.read_reviews_csv(spark, path, platform, seq))
+    return io.curate.union_platforms(frames).select(*RAW_COLS)
 
 
 register("read_reviews_csv", W(sg.reviews_ctes(), f"""
-SELECT review_id, review_text, rating, product_name, 'unknown' AS review_date, reviewer_name, source_platform
+SELECT review_text, CASE WHEN review_id % 6 <> 0 AND (review_id % 7 = 0 OR review_id % 11 = 0) THEN 3 ELSE rating END
+       AS rating, product_name, 'unknown' AS review_date, reviewer_name, source_platform
 FROM reviews WHERE {sg.strip('review_text')} <> ''"""))(_csv_roundtrip)
 
 
@@ -40,9 +44,6 @@ def _latin1(spark, sf):
     return io.read_csv(spark, path, encoding="ISO-8859-1", fallback=None)
 
 
-register("adapt_latin1_source")(_latin1)
-
-
 def _lines(spark, sf):
     urls = fx.table(spark, sf, "pages").select(F.col("url").alias("value"))
     header = spark.range(1).select(F.lit("# shop list").alias("value"))
@@ -125,6 +126,11 @@ ADAPTED_CTES = [
                   FROM prod"""),
 ]
 
+# a character outside ISO-8859-1 is written as '?'
+register("adapt_latin1_source", W(ADAPTED_CTES, r"""
+SELECT regexp_replace(review_text, '[^\x{00}-\x{FF}]', '?', 'g') AS review_text, CAST(rating AS VARCHAR) AS rating,
+       product_name, review_date, reviewer_name, source_platform, CAST(row_seq AS VARCHAR) AS row_seq FROM a_app"""))(
+    _latin1)
 register("adapt_appstore", W(ADAPTED_CTES, "SELECT * FROM a_app"))(
     lambda spark, sf: ad.adapt_appstore(fx.appstore_rows(spark, sf)))
 register("adapt_binary_label", W(ADAPTED_CTES, "SELECT * FROM a_bin"))(

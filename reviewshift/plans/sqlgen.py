@@ -22,8 +22,8 @@ def in_list(xs) -> str:
     return "(" + ", ".join(q(x) for x in xs) + ")"
 
 
-def with_(ctes: list[tuple[str, str]], final: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS (\n{body}\n)" for n, body in ctes) + "\n" + final
+def with_(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(f"{n} AS (\n{body}\n)" for n, body in ctes) + "\n" + final
 
 
 # --- scalar fragments ---------------------------------------------------------

@@ -135,3 +135,33 @@ def test_a_failing_source_is_left_out(spark, caplog):
         "good": lambda: adapters.adapt_appstore(good)})
     assert len(got) == 1 and got[0].first().review_date == "2024-01-05"
     assert [r.args[0] for r in caplog.records if r.name == adapters.__name__] == ["no file", "no column"]
+
+
+def _greedy(word, vocab, max_chars):
+    at, n = 0, 0
+    while at < len(word) <= max_chars:
+        ends = [e for e in range(at + 1, len(word) + 1) if ("##" if at else "") + word[at:e] in vocab]
+        if not ends:
+            return 1
+        at, n = ends[-1], n + 1
+    return max(n, 1)
+
+
+@pytest.mark.parametrize("max_chars", [100, 5])
+def test_sub_words_equal_a_greedy_walk(spark, max_chars):
+    vocab = {"a", "ab", "abc", "##b", "##bc", "##c", "##ca", "é", "##\U0001f600", "##d"}
+    words = ["abc", "abca", "abd", "cab", "x", "abcbcbcca", "é\U0001f600c", "ddd", "a" * 120]
+    got = shift.wordpiece_counts(spark.createDataFrame([(w,) for w in words], "word string"),
+                                 spark.createDataFrame([(v,) for v in vocab], "piece string"), max_chars)
+    assert {r.word: r.n_pieces for r in got.collect()} == {w: _greedy(w, vocab, max_chars) for w in words}
+
+
+def test_running_total_over_many_ranges(spark):
+    rows = [(f"s{i:03d}", r, (i * r) % 7) for i in range(200) for r in (5, 1, 3)]
+    fill = spark.createDataFrame(rows, "shop string, rating int, collected long")
+    got = quota.running_total(fill, "shop", "rating", {1: 9, 3: 9, 5: 9}).collect()
+    total = 0
+    for r in sorted(got, key=lambda r: (r.shop, r.rating)):
+        total += r.collected
+        assert r.running_total == total
+    assert len(got) == len(rows)
