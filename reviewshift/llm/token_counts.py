@@ -5,10 +5,11 @@ pieces of a text are those of its pre-tokens: white space with the letters that
 each letter of which no longer piece is made. The plan brings the frequencies of a pre-token
 together, counts its pieces once, joins that count to the documents' frequencies and sums.
 
-Frequencies travel as one row for each pre-token and frequency in a block of documents, with the
-places in the block of the documents that have it so often. A pre-token that is in many documents
-of a block goes to one of ``SALTS`` partitions with the block's rows, so no task gets all of a
-frequent word (its pieces are counted once in each of those at most).
+Frequencies travel as one row for each pre-token of a block of documents: the places in the block
+of the documents that have it, by how often they do, and the lengths of these runs (none if each
+has it once). A pre-token that is in many documents of a block goes to one of ``SALTS`` partitions
+with the block's rows, so no task gets all of a frequent word (its pieces are counted once in each
+of those at most).
 
 Defined results: null and empty texts have no tokens. Repeated rows are rows of the result. Columns
 beside id and text are not read.
@@ -32,13 +33,12 @@ BLOCK_DOCS, BLOCK_CHARS = 30_000, 32_000_000
 SALTS, FREQUENT = 64, 16  # frequent: in over a 16th of a block's documents
 ROWS = T.StructType([
     T.StructField("piece", T.StringType()), T.StructField("salt", T.IntegerType()),
-    T.StructField("block", T.LongType()), T.StructField("times", T.LongType()),
-    T.StructField("place", T.ShortType()), T.StructField("places", T.ArrayType(T.ShortType())),
-    T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
+    T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()),
+    T.StructField("runs", T.BinaryType()), T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
 ])
-ARROW = pa.schema([
-    ("piece", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("times", pa.int64()),
-    ("place", pa.int16()), ("places", pa.list_(pa.int16())), ("id", pa.int64()), ("n_bytes", pa.int64())])
+ARROW = pa.schema([("piece", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("places", pa.binary()),
+                   ("runs", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64())])
+PLACE, RUN = np.dtype("<u2"), np.dtype([("times", "<u4"), ("size", "<u4")])
 
 
 class PieceCounter:
@@ -73,8 +73,16 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+def _cells(values: np.ndarray, sizes: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Binary cells that hold ``sizes`` of ``values`` each."""
+    ends = np.concatenate(([0], np.cumsum(sizes))) * values.itemsize
+    valid = None if null is None else pa.py_buffer(np.packbits(~null, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(ends.astype(np.int32).tobytes()),
+                                                           pa.py_buffer(values.tobytes())])
+
+
 def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of one block: one of each document with its id and size, and the frequencies."""
+    """Rows of one block: one of each document with its id and size, and one of each pre-token."""
     index: dict[str, int] = {}
     spots, sizes = [], []
     for _, text in docs:
@@ -89,32 +97,66 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
     word, place = pair // len(docs), pair % len(docs)
     order = np.lexsort((place, times, word))
     word, place, times = word[order], place[order], times[order]
-    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (times[1:] != times[:-1])))) if len(word) else word
-    frequent = np.bincount(word, minlength=len(index)) * FREQUENT > len(docs)
+    n_docs = np.bincount(word, minlength=len(index))
+    edge = np.flatnonzero((word[1:] != word[:-1]) | (times[1:] != times[:-1])) + 1
+    first = np.concatenate(([0], edge)) if len(word) else edge
+    runs = np.empty(len(first), RUN)
+    runs["times"], runs["size"] = times[first], np.diff(np.append(first, len(word)))
+    of_run = word[first]
+    n_runs = np.bincount(of_run, minlength=len(index))
+    once = (n_runs == 1) & (np.bincount(word, times, len(index)) == n_docs)
     n = len(docs)
     yield pa.RecordBatch.from_arrays([
-        # no pre-tokens: there the guard stands alone
         pa.array([f"{GUARD}{GUARD}{block}:{k}" for k in range(n)]), pa.array(np.zeros(n, np.int32)),
-        pa.array(np.full(n, block)), pa.array(np.zeros(n, np.int64)), pa.array(np.arange(n).astype(np.int16)),
-        pa.nulls(n, pa.list_(pa.int16())), pa.array([d[0] for d in docs], pa.int64()),
+        pa.array(np.full(n, block)), _cells(np.arange(n).astype(PLACE), np.ones(n, np.int64)),
+        pa.nulls(n, pa.binary()), pa.array([d[0] for d in docs], pa.int64()),
         pa.array([len(d[1].encode("utf-8", "surrogatepass")) for d in docs], pa.int64())], schema=ARROW)
-    ends = np.append(first, len(word))
-    for at in range(0, len(first), 100_000):
-        f = first[at:at + 100_000]
-        z = ends[at:at + 100_000 + 1]
-        n, lone = len(f), np.diff(z) == 1
-        many = place[z[0]:z[-1]][np.repeat(~lone, np.diff(z))]
-        bounds = np.concatenate(([0], np.cumsum(np.where(lone, 0, np.diff(z)))))
+    for at in range(0, len(names), 100_000):
+        own = slice(at, at + 100_000)
+        p = slice(*np.searchsorted(word, [at, at + 100_000]))
+        r = slice(*np.searchsorted(of_run, [at, at + 100_000]))
+        n = len(names[own])
         yield pa.RecordBatch.from_arrays([
-            pa.array(names[word[f]], pa.string()),
-            pa.array(np.where(frequent[word[f]], block % SALTS, -1).astype(np.int32)),
-            pa.array(np.full(n, block)), pa.array(times[f].astype(np.int64)),
-            pa.array(place[f].astype(np.int16), mask=~lone),
-            pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(many.astype(np.int16)),
-                                     mask=pa.array(lone)),
+            pa.array(names[own], pa.string()),
+            pa.array(np.where(n_docs[own] * FREQUENT > len(docs), block % SALTS, -1).astype(np.int32)),
+            pa.array(np.full(n, block)), _cells(place[p].astype(PLACE), n_docs[own]),
+            _cells(runs[r][~once[of_run[r]]], np.where(once[own], 0, n_runs[own]), once[own]),
             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=ARROW)
 
 
+def _read(cells: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All values of binary cells, and how many each holds (a null none)."""
+    held = [c or b"" for c in cells.to_pylist()]
+    return np.frombuffer(b"".join(held), kind), np.fromiter(map(len, held), np.int64, len(held)) // kind.itemsize
+
+
+def _sums(pieces: PieceCounter, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The documents among the rows of ``b``, and pieces summed by block and place."""
+    names = ["block", "place", "n", "id", "n_bytes"]
+    block, sized = b.column(2), b.column(6).is_valid()
+    place, each = _read(b.column(3), PLACE)
+    runs, n_runs = _read(b.column(4), RUN)
+    is_doc = sized.to_numpy(zero_copy_only=False)
+    if is_doc.any():
+        n = int(is_doc.sum())
+        yield pa.RecordBatch.from_arrays([
+            block.filter(sized), pa.array(place[np.repeat(is_doc, each)].astype(np.int32)),
+            pa.array(np.zeros(n, np.int64)), b.column(5).filter(sized), b.column(6).filter(sized)], names=names)
+    # a pre-token's rows stand together, so each is counted once
+    words = b.column(0).dictionary_encode()
+    n_pieces = np.where(is_doc, 0, pieces.count(words.dictionary.to_pylist())[words.indices.to_numpy()])
+    times = np.ones(len(place), np.int64)
+    times[np.repeat(n_runs > 0, each)] = np.repeat(runs["times"].astype(np.int64), runs["size"])
+    blocks, of_row = np.unique(block.to_numpy(), return_inverse=True)
+    key = np.repeat(of_row, each) << 16 | place
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], (np.repeat(n_pieces, each) * times)[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    yield pa.RecordBatch.from_arrays([
+        pa.array(blocks[key[first] >> 16]), pa.array((key[first] & 0xFFFF).astype(np.int32)),
+        pa.array(np.add.reduceat(n, first)), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64())], names=names)
+
+
 def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ROWS: the documents of each block, and the frequencies of its pre-tokens."""
 
@@ -138,19 +180,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """id, n_bytes (UTF-8), n_tokens of each row of ``docs``."""
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # a pre-token's rows stand together, so each is counted once
-            words = b.column(0).dictionary_encode()
-            n = counter(path).count(words.dictionary.to_pylist())[words.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(2), pa.array(n * b.column(3).to_numpy()), *b.columns[4:]],
-                names=["block", "n", "place", "places", "id", "n_bytes"])
+        for b in batches:
+            if b.num_rows:
+                yield from _sums(counter(path), b)
 
     # Both sides of the join would come from one exchange: it is a merge within its partitions.
-    rows = (frequencies(docs, path, id_col, text_col).repartition("piece", "salt")
-            .sortWithinPartitions("piece")
-            .mapInArrow(joined, T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()),
-                                              *ROWS.fields[4:]])))
-    posted = rows.select("block", "n", "id", "n_bytes", F.explode(F.coalesce("places", F.array("place"))).alias("place"))
+    posted = (frequencies(docs, path, id_col, text_col).repartition("piece", "salt")
+              .sortWithinPartitions("piece")
+              .mapInArrow(joined, "block long, place int, n long, id long, n_bytes long"))
     return (posted.groupBy("block", "place")
             .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
             .select("id", "n_bytes", "n_tokens"))
