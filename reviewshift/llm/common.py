@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
+SLICE_BYTES = 4_000_000  # of text that a function of ``append_columns`` gets at once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -43,26 +47,41 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def _slices(b: pa.RecordBatch, reads: list[int]) -> Iterator[pa.RecordBatch]:
+    """``b`` in runs of rows whose columns ``reads`` hold about SLICE_BYTES of text (one row at least)."""
+    size = np.zeros(b.num_rows, np.int64)
+    for i in reads:
+        if pa.types.is_string(b.schema.types[i]) or pa.types.is_large_string(b.schema.types[i]):
+            size += pc.fill_null(pc.binary_length(b.column(i)), 0).to_numpy()
+    run = np.cumsum(size) // SLICE_BYTES
+    edges = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), b.num_rows]
+    for at, end in zip(edges, edges[1:]):
+        yield b.slice(at, end - at)
+
+
 def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, pa.Array]],
                    new: dict[str, T.DataType], inputs: dict[str, str]) -> DataFrame:
-    """All of ``df`` plus the columns that ``fn`` computes from each Arrow batch.
+    """All of ``df`` plus the columns that ``fn`` computes from each slice of an Arrow batch.
 
     ``inputs`` maps the name under which ``fn`` reads a column to its name in ``df``. A column
     of ``df`` that is called like a new one is replaced. No shuffle: rows stay where they are.
+    A column that is kept and read goes to Python once, and a slice bounds what ``fn`` unpacks.
     """
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in new}]
+    sent = kept + [c for c in dict.fromkeys(inputs.values()) if c not in kept]
     # by place: a Python stage can't read columns with a dot in their name
-    wide = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*kept, *inputs.values()])))
+    wide = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(sent)))
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in new.items()])
-    n_kept, reads, names = len(kept), list(inputs), list(new)
+    n_kept, reads, names, at = len(kept), list(inputs), list(new), [sent.index(c) for c in inputs.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        for whole in batches:
+            if not whole.num_rows:
                 continue
-            got = fn(pa.RecordBatch.from_arrays([b.column(n_kept + i) for i in range(len(reads))], names=reads))
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_kept)] + [got[n] for n in names],
-                                             names=kept + names)
+            for b in _slices(whole, at):
+                got = fn(pa.RecordBatch.from_arrays([b.column(i) for i in at], names=reads))
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(n_kept)] + [got[n] for n in names],
+                                                 names=kept + names)
 
     return wide.mapInArrow(run, schema)
 

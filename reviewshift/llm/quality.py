@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .common import append_columns, texts_of
 
-CHUNK_CHARS = 2_000_000  # texts that are scored at once (one text at least)
+CHUNK_CHARS = 1_000_000  # texts that are scored at once (one text at least)
 #: Classes of bytes, by table: upper, lower, digit, white space, sentence marks, other marks, high.
 N_CLASSES = 7
 
