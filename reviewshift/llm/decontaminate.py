@@ -7,9 +7,13 @@ the largest of each block of item numbers. A passage whose list maxima don't add
 threshold can't retrieve anything; otherwise blocks whose maxima do are opened and the scores of
 their items computed in full. All items at or above the threshold are retrieved, no top k.
 
-A retrieved item is a leak if the passage holds at least ``overlap`` of the word shingles (five
-words) of its question and of its answer: the last sentence is the answer, of an item of one
-sentence the last third of its words.
+A retrieved item is a leak if a passage of its own length holds at least ``need`` of its question
+and of its answer: the last sentence is the answer, of an item of one sentence the last third of
+its words. The share of a part is that of its word shingles (five words) or, if that is too small,
+that of its words in the stretch of the passage with the fewest edits (words replaced, put in or
+left out): one edit takes five shingles but one word. A part of two to four words is compared by
+edits together with its neighbours in the item, five words in all; a part of one word has to be
+there.
 
 The index is built by DataFrame aggregation over all items. It reaches the executors in shards of
 at most ``shard_postings`` postings on average, one pass over the documents for each, so neither
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -70,6 +75,37 @@ def overlap(part: list[str], passage: list[str]) -> float:
     return len(own & set(zip(*(passage[i:] for i in range(k))))) / len(own)
 
 
+def edits(part: list[str], passage: list[str]) -> int:
+    """Fewest words to replace, put in or leave out between ``part`` and a stretch of ``passage``
+    (Myers' bit vectors, a bit for each word of ``part``)."""
+    full, last, spots = (1 << len(part)) - 1, 1 << len(part) >> 1, {}
+    for k, w in enumerate(part):
+        spots[w] = spots.get(w, 0) | 1 << k
+    up, down, now = full, 0, len(part)
+    best = now
+    for w in passage:
+        eq = spots.get(w, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        right, left = down | (full & ~(x | up)), up & x
+        now += bool(right & last) - bool(left & last)
+        best = min(best, now)
+        right, left, eq = right << 1 & full, left << 1 & full, eq | down
+        up, down = left | (full & ~(eq | right)), right & eq
+    return best
+
+
+def share(before: list[str], part: list[str], after: list[str], passage: list[str], need: float) -> float:
+    """Share of ``part`` in ``passage`` by shingles or, where they fall short of ``need``, by edits."""
+    own = overlap(part, passage)
+    if own >= need or len(part) < 2:
+        return own
+    lacking = max(SHINGLE - len(part), 0)
+    wide = before[max(len(before) - lacking, 0):] + part + after[:lacking]
+    # words that are not there at all bound the edits from below
+    there = sum((Counter(wide) & Counter(passage)).values())
+    return max(own, (len(wide) - edits(wide, passage)) / len(wide)) if there >= need * len(wide) else own
+
+
 @dataclass
 class Index:
     """One shard: posting lists by term number, sorted by item number."""
@@ -125,7 +161,7 @@ class Index:
             for i, score in self.retrieve(own[own >= 0], threshold):
                 item_id, question, answer = self.items[i]
                 passage = words[at:at + 2 * self.longest]
-                q, a = overlap(question, passage), overlap(answer, passage)
+                q, a = share([], question, answer, passage, need), share(question, answer, [], passage, need)
                 if q >= need and a >= need and (i not in found or score > found[i]["score"]):
                     found[i] = {"item_id": item_id, "first_word": at, "n_words": len(passage), "score": score,
                                 "question_overlap": q, "answer_overlap": a}

@@ -93,3 +93,32 @@ def test_awkward_rows(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.count() == awkward.count() - 1
     assert dc.leaks(empty, items).count() == 0
     assert dc.remove_leaks(awkward, items.limit(0)).count() == awkward.count()
+
+
+def test_one_replaced_word_is_still_a_leak(spark):
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(3000)]
+    items, docs = [], []
+    for i, (n_q, n_a) in enumerate([(36, 8), (12, 2), (12, 3), (3, 9), (20, 5), (40, 30), (6, 14)]):
+        own = rng.sample(words, n_q + n_a)
+        items.append((i, f"{' '.join(own[:n_q])}. {' '.join(own[n_q:])}."))
+        docs += [(i, " ".join([*rng.choices(words, k=30), *own[:k], "other", *own[k + 1:], *rng.choices(words, k=30)]))
+                 for k in range(n_q + n_a)]
+        # half an item stays no leak, whatever stands in place of the rest
+        docs += [(100 + i, " ".join([*own[:n_q], *rng.choices(words, k=n_a)])), (100 + i, " ".join(own[n_q:]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["item_id"]) for r in dc.leaks(df, items_df(spark, items)).collect()]
+    assert sorted(got) == sorted((d, d) for d, _ in docs if d < 100)
+
+
+def test_edits_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(500):
+        part, passage = rng.choices("abcd", k=rng.randint(1, 9)), rng.choices("abcde", k=rng.randint(0, 20))
+        row = [0] * (len(passage) + 1)
+        for i, w in enumerate(part):
+            new = [i + 1]
+            for j, x in enumerate(passage):
+                new.append(min(row[j] + (w != x), row[j + 1] + 1, new[j] + 1))
+            row = new
+        assert dc.edits(part, passage) == min(row)
