@@ -37,7 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked in their texts; n_chars is that of the new text."""
     base, spans = free_name(docs, "base_spans"), free_name(docs, "spans")
-    found = secrets.scan(docs, base=base, every=spans)
+    found = secrets.scan(docs, base=base, every=spans, pieces=True)
     clean = found.withColumn("text", secrets.masked(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast("long"))

@@ -61,7 +61,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
-    return secrets.scan(docs).select(
+    return secrets.scan(docs, pieces=True).select(
         "doc_id", *[count(k).alias(f"n_{secrets.KINDS[k]}") for k in range(len(secrets.RULES))],
         F.sha2(secrets.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"))

@@ -3,9 +3,11 @@
 Rule spans are the leftmost non-overlapping matches of each rule, of which those that fail the
 rule's length are dropped. Entropy spans are runs of token characters with a digit whose best
 window of ``WINDOW`` characters reaches the threshold of its character class; a run inside a rule
-span, or one on the allow-list, adds nothing. The window slides one character a step: the counts
-of the character that enters and of the one that leaves change by one, and the sum of c*log2(c)
-changes by two table lookups.
+span, or one on the allow-list, adds nothing. Of a run that rule spans cover in part, the pieces
+outside them are runs of their own (``pieces``, which the query and the pipeline set; without it
+such a run adds nothing). The window slides one character a step: the counts of the character that
+enters and of the one that leaves change by one, and the sum of c*log2(c) changes by two table
+lookups.
 
 Everything is an expression over one row: no shuffle, no Python. Positions are code points, ends
 exclusive. Null texts count as empty and have no spans.
@@ -14,6 +16,7 @@ exclusive. Null texts count as empty and have no spans.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -138,7 +141,7 @@ def _apart(runs: Column, base: Column) -> Column:
         lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"))))
 
 
-def entropy_spans(text: Column, base: Column) -> Column:
+def entropy_spans(text: Column, base: Column, pieces: bool = False) -> Column:
     def keep(x):
         run, kind = x["m"], None
         for _, pattern, bits in reversed(CLASSES):
@@ -148,17 +151,26 @@ def entropy_spans(text: Column, base: Column) -> Column:
             allowed = allowed | run.rlike(pattern)
         return ~allowed & (F.length(run) >= WINDOW) & (window_entropy(run) >= kind)
 
+    def outside(runs):
+        if not pieces:
+            return _spans(_apart(runs, base), len(RULES), keep)
+        blank = masked(text, base, lambda n: F.repeat(F.lit(" "), n))
+        own = F.when(F.size(base) == 0, runs).otherwise(_let(blank, lambda rest: _located(rest, CANDIDATE)))
+        return _spans(own, len(RULES), keep)
+
     return _let(_located(text, CANDIDATE), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{SPAN}>"))
-                .otherwise(_spans(_apart(runs, base), len(RULES), keep)))
+                .otherwise(outside(runs)))
 
 
-def scan(docs: DataFrame, text_col: str = "text", base: str = "base_spans", every: str = "spans") -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", base: str = "base_spans", every: str = "spans",
+         pieces: bool = False) -> DataFrame:
     """``docs`` plus two sorted arrays of struct(start, kind, end): rule spans, and all spans.
-    Columns of ``docs`` that are called like them are replaced."""
+    Columns of ``docs`` that are called like them are replaced. ``pieces``: runs are scanned
+    outside the rule spans that meet them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.array_sort(F.concat(*[rule_spans(text, k) for k in range(len(RULES))]))
     return (docs.withColumn(base, found)
-            .withColumn(every, F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base))))))
+            .withColumn(every, F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base), pieces)))))
 
 
 def written(spans: Column) -> Column:
@@ -168,15 +180,18 @@ def written(spans: Column) -> Column:
         ":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """``text`` with each stretch that sorted ``spans`` cover replaced by ``mask``. A chunk of spans
-    is masked within its own stretch of the text, as each cut counts letters from the front."""
+def masked(text: Column, spans: Column, mask: str | Callable[[Column], Column] = "[secret]") -> Column:
+    """``text`` with each stretch that sorted ``spans`` cover replaced by ``mask``, a function of the
+    letters that a span adds to those before it or a text for each stretch. A chunk of spans is
+    masked within its own stretch of the text, as each cut counts letters from the front."""
     def chunk(c):
         first, last = F.get(c, F.lit(0))["at"], F.element_at(c, -1)
         own = F.substring(text, first + 1, F.greatest(last["at"], last["end"]) - first)
         return _let(own, lambda part: F.array_join(F.transform(c, lambda s: F.when(
             s["start"] >= s["at"],
-            F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask))).otherwise("")), ""))
+            F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask) if isinstance(mask, str)
+                     else mask(s["end"] - s["start"]))).otherwise(
+            "" if isinstance(mask, str) else mask(s["end"] - s["at"]))), ""))
 
     placed = F.zip_with(spans, _before(F.transform(spans, lambda s: s["end"]), F.greatest), lambda s, at: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
