@@ -9,7 +9,10 @@ byte out and the separator supplies it.
 The reader takes gzip members and plain records. A record counts if its header can be read, its
 block has the stated length and end, and its payload the stated digest. After a failed check the
 reader searches for the next gzip magic or version line from which a record can be read, goes on
-there, and reports the bytes between as a gap.
+there, and reports the bytes between as a gap. Inside a member it does the same over the unpacked
+bytes, also of a member that is cut off or damaged, as far as it unpacks. ``offset`` and ``size``
+count bytes of the file (of the whole member, or of its part up to its last good record if it does
+not unpack to its end), ``unpacked_offset`` and ``unpacked_size`` those of the member unpacked.
 
 Defined results: null payloads are empty. A payload of at least ``MIN_REVISIT`` bytes is a response
 in the rows of the smallest id that has it (each of them, if rows repeat) and a revisit elsewhere;
@@ -35,6 +38,7 @@ MIN_REVISIT, FILE_RECORDS = 100, 2000
 DATE = "1970-01-01T00:00:00Z"  # the tables have no fetch time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+PIECE = 1 << 16  # bytes of a member that are unpacked at once
 NEXT = re.compile(re.escape(MAGIC) + b"|" + re.escape(VERSION))
 
 
@@ -126,45 +130,108 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
             "payload": None if kind == "revisit" else payload}, end + len(END)
 
 
-def read_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the gzip member or the plain record at ``at``, and where it ends."""
+def unpacked(data: bytes, at: int) -> tuple[bytes, int | None, str]:
+    """What the gzip member at ``at`` unpacks to, as far as it does; where it ends (None if it does
+    not unpack to its end) and the reason."""
+    unpack, out, done, view = zlib.decompressobj(31), [], at, memoryview(data)
+    while done < len(data) and not unpack.eof:
+        part, before = view[done:done + PIECE], unpack.copy()
+        try:
+            out.append(unpack.decompress(part))
+        except zlib.error:
+            # a call that fails gives nothing back: bytes go in one by one up to the damage
+            try:
+                for i in range(len(part)):
+                    out.append(before.decompress(part[i:i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None, "member does not unpack"
+        done += len(part)
+    if not unpack.eof:
+        return b"".join(out), None, "member is cut off"
+    return b"".join(out), done - len(unpack.unused_data), ""
+
+
+def taken(data: bytes, at: int, size: int) -> int:
+    """Where the bytes of the member at ``at`` end that its first ``size`` unpacked bytes are from."""
+    unpack, done, got, piece = zlib.decompressobj(31), at, 0, PIECE
+    while got < size:
+        part, before = memoryview(data)[done:done + piece], unpack.copy()
+        try:
+            got += len(unpack.decompress(part, size - got))
+        except zlib.error:
+            # the damage is in this piece, behind the bytes that are looked for
+            unpack, piece = before, 1
+            continue
+        done += len(part) - len(unpack.unconsumed_tail)
+    return done
+
+
+def rows_of(plain: bytes) -> Iterator[dict]:
+    """Records of an unpacked member, and the gaps between them."""
+    at, gap, reason = 0, None, ""
+    while at < len(plain):
+        try:
+            row, end = parse(plain, at)
+        except Bad as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            found = plain.find(VERSION, at + 1)
+            at = found if found >= 0 else len(plain)
+            continue
+        if gap is not None:
+            yield {"kind": "gap", "unpacked_offset": gap, "unpacked_size": at - gap, "reason": reason}
+            gap = None
+        yield {"kind": "record", "unpacked_offset": at, "unpacked_size": end - at, **row}
+        at = end
+    if gap is not None:
+        yield {"kind": "gap", "unpacked_offset": gap, "unpacked_size": len(plain) - gap, "reason": reason}
+
+
+def read_at(data: bytes, at: int) -> tuple[list[dict], int, dict | None]:
+    """Records and gaps of the gzip member or the plain record at ``at``, where they end, and the
+    gap that starts there if the member does not unpack to its end."""
     if not data.startswith(MAGIC, at):
         row, end = parse(data, at)
-        return [row], end
-    unpack = zlib.decompressobj(31)
-    try:
-        plain = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad("member does not unpack") from e
-    if not unpack.eof:
-        raise Bad("member is cut off")
-    rows, done = [], 0
-    while done < len(plain):
-        row, done = parse(plain, done)
-        rows.append(row)
-    return rows, len(data) - len(unpack.unused_data)
+        return [{"kind": "record", **row}], end, None
+    plain, end, reason = unpacked(data, at)
+    rows = list(rows_of(plain))
+    if rows and all(r["kind"] == "gap" for r in rows):
+        raise Bad(reason or rows[0]["reason"])
+    if end is not None:
+        return rows, end, None
+    if not rows:
+        raise Bad(reason)
+    if rows[-1]["kind"] == "gap":
+        rows.pop()
+    good = rows[-1]["unpacked_offset"] + rows[-1]["unpacked_size"]
+    return rows, taken(data, at, good), {"reason": reason, "unpacked_offset": good, "unpacked_size": len(plain) - good}
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of one archive with their offsets, and the gaps between them."""
-    at, gap, reason = 0, None, ""
+    at, gap, why = 0, None, {}
     while at < len(data):
         try:
-            rows, end = read_at(data, at)
+            rows, end, broken = read_at(data, at)
         except Bad as e:
             if gap is None:
-                gap, reason = at, str(e)
+                gap, why = at, {"reason": str(e)}
             found = NEXT.search(data, at + 1)
             at = found.start() if found else len(data)
             continue
         if gap is not None:
-            yield {"kind": "gap", "offset": gap, "size": at - gap, "reason": reason}
+            yield {"kind": "gap", "offset": gap, "size": at - gap, **why}
             gap = None
         for row in rows:
-            yield {"kind": "record", "offset": at, "size": end - at, **row}
+            yield {"offset": at, "size": end - at, **row}
         at = end
+        if broken:
+            gap, why = end, broken
+            found = NEXT.search(data, end)
+            at = found.start() if found else len(data)
     if gap is not None:
-        yield {"kind": "gap", "offset": gap, "size": len(data) - gap, "reason": reason}
+        yield {"kind": "gap", "offset": gap, "size": len(data) - gap, **why}
 
 
 ROW = T.StructType([
@@ -173,7 +240,8 @@ ROW = T.StructType([
     T.StructField("record_type", T.StringType()), T.StructField("page_id", T.LongType()),
     T.StructField("refers_to", T.LongType()), T.StructField("uri", T.StringType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()),
-    T.StructField("payload", T.BinaryType())])
+    T.StructField("payload", T.BinaryType()),
+    T.StructField("unpacked_offset", T.LongType()), T.StructField("unpacked_size", T.LongType())])
 ARROW = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()])
                    for f in ROW])
 

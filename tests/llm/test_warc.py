@@ -114,3 +114,48 @@ def test_payloads_and_damage_through_spark(spark, tmp_path):
 def test_query_equals_brute_force(spark):
     rows = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect()]
     assert sorted(map(tuple, queries.op10_warc(spark, SF_CHECK).collect()), key=str) == brute(rows)
+
+
+def ids(rows):
+    return [r["page_id"] for r in rows if r["kind"] == "record"]
+
+
+@pytest.mark.parametrize("level", [0, 9])
+def test_bad_record_inside_a_member(level):
+    parts = [made(i) for i in range(12)]
+    parts[5] = parts[5].replace(b"sha256:", b"sha256:0")
+    parts[8] = parts[8].replace(b"Content-Length: 4", b"Content-Length: 9")
+    data = gzip.compress(b"".join(parts), level)
+    rows = list(warc.salvage(made(20) + data + warc.member(made(21))))
+    assert ids(rows) == [20, *(i for i in range(12) if i not in (5, 8)), 21]
+    gaps = [r for r in rows if r["kind"] == "gap"]
+    assert [(g["unpacked_offset"], g["unpacked_size"]) for g in gaps] == [
+        (sum(map(len, parts[:i])), len(parts[i])) for i in (5, 8)]
+    assert all(g["reason"] and (g["offset"], g["size"]) == (len(made(20)), len(data)) for g in gaps)
+
+
+@pytest.mark.parametrize("level", [0, 9])
+@pytest.mark.parametrize("harm", ["cut", "flip", "crc", "trailer"])
+def test_damaged_member_of_several_records(level, harm):
+    # payloads that hardly pack, so damage in the middle of the file is in the middle of the records
+    payloads = [random.Random(i).randbytes(20_000) for i in range(12)]
+    parts = [warc.record(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    data = gzip.compress(b"".join(parts), level)
+    at = len(data) // 2 + 3000
+    if harm == "cut":
+        data = data[:at]
+    elif harm == "flip":
+        data = data[:at] + b"\xff" * 40 + data[at + 40:]
+    elif harm == "crc":
+        data = data[:-8] + bytes([data[-8] ^ 1]) + data[-7:]
+    else:
+        data = data[:-3]
+    rows = list(warc.salvage(data + warc.member(made(21))))
+    found = ids(rows)
+    assert found[-1] == 21 and len(set(found)) == len(found)
+    assert set(found) >= ({*range(12)} if harm in ("crc", "trailer") else {*range(6)})
+    gaps = [r for r in rows if r["kind"] == "gap"]
+    assert gaps and all(g["reason"] for g in gaps)
+    # the file's bytes are covered without overlap
+    places = sorted({(r["offset"], r["size"]) for r in rows})
+    assert [p for p, _ in places] == [0, *(p + n for p, n in places[:-1])] and sum(n for _, n in places) == len(data) + len(warc.member(made(21)))
