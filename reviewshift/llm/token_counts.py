@@ -81,6 +81,11 @@ def _cells(values: np.ndarray, sizes: np.ndarray, null: np.ndarray | None = None
                                                            pa.py_buffer(values.tobytes())])
 
 
+def salt_of(block: int) -> int:
+    """One of ``SALTS`` by task and by number in it: most tasks have a few blocks, which start at 0."""
+    return ((block >> 32) * 31 + (block & 0xFFFFFFFF)) % SALTS
+
+
 def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
     """Rows of one block: one of each document with its id and size, and one of each pre-token."""
     index: dict[str, int] = {}
@@ -118,7 +123,7 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
         n = len(names[own])
         yield pa.RecordBatch.from_arrays([
             pa.array(names[own], pa.string()),
-            pa.array(np.where(n_docs[own] * FREQUENT > len(docs), block % SALTS, -1).astype(np.int32)),
+            pa.array(np.where(n_docs[own] * FREQUENT > len(docs), salt_of(block), -1).astype(np.int32)),
             pa.array(np.full(n, block)), _cells(place[p].astype(PLACE), n_docs[own]),
             _cells(runs[r][~once[of_run[r]]], np.where(once[own], 0, n_runs[own]), once[own]),
             pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=ARROW)

@@ -95,3 +95,10 @@ def test_counts_of_awkward_rows(spark, awkward, empty, pieces, monkeypatch):
                    for r in awkward.collect()), key=str)
     assert got == want
     assert token_counts.count_tokens(empty, PIECE).count() == 0
+
+
+def test_frequent_pre_tokens_have_a_salt_for_each_task(spark):
+    df = spark.createDataFrame([(i, "the same words") for i in range(80)], "doc_id long, text string").repartition(8)
+    rows = token_counts.frequencies(df, PIECE).filter("n_bytes is null").select("piece", "salt", "block").distinct().collect()
+    blocks = {r["block"] for r in rows}
+    assert len(blocks) == 8 and all(len({r["salt"] for r in rows if r["piece"] == p}) == 8 for p in {r["piece"] for r in rows})
