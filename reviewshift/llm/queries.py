@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality, secrets, sharding, simhash, token_counts, topk, warc
+from . import (bpe, decontaminate, licenses, quality, rank_queue_bpe, secrets, sharding, simhash, token_counts, topk,
+               warc)
 from .common import table
 
-BPE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BPE_FILE, PIECE_FILE, RANK_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 SHARDS, TOKEN_LIMIT, KEEP_SCORE = 40, 4096, 0.3
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,9 +83,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = rank_queue_bpe.add_tokens(docs, str(public_tokenizers.path(RANK_FILE)), ids=None, digests=True)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_sharding, op3_bpe, op4_token_counts, op5_decontaminate, op6_licenses, op7_secrets,
-    op8_simhash, op9_topk, op10_warc)}
+    op8_simhash, op9_topk, op10_warc, op13_rank_queue_bpe)}
 
 
 def queries() -> dict[str, Query]:
