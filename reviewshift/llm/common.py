@@ -47,6 +47,11 @@ def columns_of(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _slices(b: pa.RecordBatch, reads: list[int]) -> Iterator[pa.RecordBatch]:
     """``b`` in runs of rows whose columns ``reads`` hold about SLICE_BYTES of text (one row at least)."""
     size = np.zeros(b.num_rows, np.int64)

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, licenses, quality, rank_queue_bpe, secrets, sharding, simhash, token_counts, topk,
-               warc)
+from . import (bpe, decontaminate, licenses, periodic_runs, quality, rank_queue_bpe, secrets, sharding, simhash,
+               token_counts, topk, warc)
 from .common import table
 
 BPE_FILE, PIECE_FILE, RANK_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -83,6 +83,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the documents, of which a tenth are looped from some word on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(hashed / 10)
+    loop = periodic_runs.looped(F.col("text"), lambda n: g % n, lambda n: 1 + F.floor((n - g % n) / (3 + g % 8)))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when((hashed % 10 == 0) & F.col("text").rlike(periodic_runs.WORD), loop)
+        .otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.add_runs(docs, runs=None, text_out=None, digests=True)
+    return found.drop("text")
+
+
 def op13_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = rank_queue_bpe.add_tokens(docs, str(public_tokenizers.path(RANK_FILE)), ids=None, digests=True)
@@ -91,7 +103,8 @@ def op13_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_sharding, op3_bpe, op4_token_counts, op5_decontaminate, op6_licenses, op7_secrets,
-    op8_simhash, op9_topk, op10_warc, op13_rank_queue_bpe)}
+    op8_simhash, op9_topk, op10_warc, op12_periodic_runs,
+    op13_rank_queue_bpe)}
 
 
 def queries() -> dict[str, Query]:

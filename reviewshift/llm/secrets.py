@@ -21,6 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 # Fixed values of the rules: kind, pattern, group that holds the secret, least characters of it.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -44,11 +46,6 @@ SPAN = "struct<start:int,kind:int,end:int>"
 CHUNK = 256  # matches over which an array grows step by step
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once a row, however often the body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _chunks(items: Column) -> Column:
     """``items`` (a bound name) in arrays of CHUNK."""
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)),
@@ -65,14 +62,14 @@ def _before(values: Column, plus) -> Column:
             lambda acc, x: F.struct(plus(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
             lambda acc: acc["out"])
 
-    return _let(values, lambda v: _let(_chunks(v), lambda cs: F.flatten(F.zip_with(
+    return let(values, lambda v: let(_chunks(v), lambda cs: F.flatten(F.zip_with(
         walk(F.lit(0), F.transform(cs, lambda c: F.aggregate(c, F.lit(0), lambda a, x: plus(a, x)))), cs, walk))))
 
 
 def _located(text: Column, pattern: str) -> Column:
     """Array of struct(start, m) of the matches of ``pattern``, from the texts between them."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    placed = _let(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda z: F.zip_with(
+    placed = let(F.arrays_zip(gaps.alias("gap"), found.alias("m")), lambda z: F.zip_with(
         z, _before(F.transform(z, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))),
                    lambda a, n: a + n),
         lambda x, at: F.struct((at + F.length(x["gap"])).alias("start"), x["m"].alias("m"))))
@@ -137,7 +134,7 @@ def _apart(runs: Column, base: Column) -> Column:
              & ~F.coalesce((o["nxt"]["run"] == 0) & (o["nxt"]["start"] < e["end"]), F.lit(False))).alias("free")))
 
     return F.when(F.size(base) == 0, runs).otherwise(F.transform(
-        F.filter(_let(events, swept), lambda x: x["free"]),
+        F.filter(let(events, swept), lambda x: x["free"]),
         lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"))))
 
 
@@ -155,10 +152,10 @@ def entropy_spans(text: Column, base: Column, pieces: bool = False) -> Column:
         if not pieces:
             return _spans(_apart(runs, base), len(RULES), keep)
         blank = masked(text, base, lambda n: F.repeat(F.lit(" "), n))
-        own = F.when(F.size(base) == 0, runs).otherwise(_let(blank, lambda rest: _located(rest, CANDIDATE)))
+        own = F.when(F.size(base) == 0, runs).otherwise(let(blank, lambda rest: _located(rest, CANDIDATE)))
         return _spans(own, len(RULES), keep)
 
-    return _let(_located(text, CANDIDATE), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{SPAN}>"))
+    return let(_located(text, CANDIDATE), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{SPAN}>"))
                 .otherwise(outside(runs)))
 
 
@@ -187,7 +184,7 @@ def masked(text: Column, spans: Column, mask: str | Callable[[Column], Column] =
     def chunk(c):
         first, last = F.get(c, F.lit(0))["at"], F.element_at(c, -1)
         own = F.substring(text, first + 1, F.greatest(last["at"], last["end"]) - first)
-        return _let(own, lambda part: F.array_join(F.transform(c, lambda s: F.when(
+        return let(own, lambda part: F.array_join(F.transform(c, lambda s: F.when(
             s["start"] >= s["at"],
             F.concat(F.substring(part, s["at"] - first + 1, s["start"] - s["at"]), F.lit(mask) if isinstance(mask, str)
                      else mask(s["end"] - s["start"]))).otherwise(
@@ -196,6 +193,6 @@ def masked(text: Column, spans: Column, mask: str | Callable[[Column], Column] =
     placed = F.zip_with(spans, _before(F.transform(spans, lambda s: s["end"]), F.greatest), lambda s, at: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), at.alias("at")))
     rest = F.array_max(F.transform(spans, lambda s: s["end"]))
-    walked = F.concat(_let(placed, lambda p: F.array_join(F.transform(_chunks(p), chunk), "")),
+    walked = F.concat(let(placed, lambda p: F.array_join(F.transform(_chunks(p), chunk), "")),
                       F.substring(text, rest + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(walked)
