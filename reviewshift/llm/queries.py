@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, decontaminate, licenses, periodic_runs, quality, rank_queue_bpe, secrets, sharding, simhash,
-               token_counts, topk, warc)
+from . import (bpe, decontaminate, hard_negatives, licenses, periodic_runs, quality, rank_queue_bpe, secrets, sharding,
+               simhash, token_counts, topk, warc)
 from .common import table
 
 BPE_FILE, PIECE_FILE, RANK_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
@@ -83,6 +83,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of the five positives of every fiftieth vector; a seventh of the labels is moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of the documents, of which a tenth are looped from some word on."""
     hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -103,8 +110,8 @@ def op13_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_quality, op2_sharding, op3_bpe, op4_token_counts, op5_decontaminate, op6_licenses, op7_secrets,
-    op8_simhash, op9_topk, op10_warc, op12_periodic_runs,
-    op13_rank_queue_bpe)}
+    op8_simhash, op9_topk, op10_warc, op11_hard_negatives,
+    op12_periodic_runs, op13_rank_queue_bpe)}
 
 
 def queries() -> dict[str, Query]:
