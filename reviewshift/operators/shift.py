@@ -17,6 +17,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..session import cut_lineage
 from .ranking import top_k
+from .wordpiece import wordpiece_counts
 
 PLATFORM = "source_platform"
 
@@ -145,40 +146,8 @@ def vocab_oov_rate(df: DataFrame, text: str = "review_text", group: str = PLATFO
 PIECE_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + tx.WS + r"]"
 
 
-def wordpiece_counts(words: DataFrame, vocab: DataFrame, max_chars: int = 100) -> DataFrame:
-    """(word, n_pieces): greedy longest-match-first sub-word pieces of each
-    distinct ``word`` against ``vocab(piece)`` ("##" marks a continuation
-    piece). A word that cannot be covered, or one of more than ``max_chars``
-    characters (the usual bound of such tokenizers), is one unknown piece.
-
-    All cuts of a word are joined with the vocabulary; of those found, the
-    longest at each place is kept and walked from the front. The planner
-    broadcasts the vocabulary where its size allows.
-    """
-    at, size = F.col("at"), F.col("size")
-    cuts = (words.filter(F.length("word").between(1, max_chars))
-            .select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at"))
-            .select("word", "at", F.explode(F.sequence(F.lit(1), F.length("word") - at + 1)).alias("size"))
-            .select("word", "at", "size", F.concat(F.when(at > 1, "##").otherwise(""),
-                                                   F.substring(F.col("word"), at, size)).alias("piece")))
-    found = (cuts.join(vocab.select("piece").distinct(), "piece").groupBy("word", "at").agg(F.max("size").alias("size"))
-             .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "size"))).alias("longest")))
-
-    def step(acc, i):
-        long = F.try_element_at(F.col("longest"), i)
-        here = (acc["at"] == i) & long.isNotNull()
-        return F.struct(F.when(here, i + long).otherwise(acc["at"]).alias("at"),
-                        F.when(here, acc["n"] + 1).otherwise(acc["n"]).alias("n"))
-
-    walked = F.aggregate(F.sequence(F.lit(1), F.length("word")),
-                         F.struct(F.lit(1).alias("at"), F.lit(0).alias("n")), step,
-                         lambda acc: F.when(acc["at"] > F.length("word"), acc["n"]).otherwise(1))
-    return words.join(found.select("word", walked.alias("n")), "word", "left") \
-        .select("word", F.coalesce("n", F.lit(1)).alias("n_pieces"))
-
-
 def fragmentation_ratio(df: DataFrame, vocab: DataFrame, key: list[str], text: str = "review_text",
-                        max_chars: int = 100) -> DataFrame:
+                        max_chars: int | None = 100) -> DataFrame:
     """Sub-word pieces / whitespace words per text (0 for no words).
 
     Pieces come from a BERT-style pre-split (words and single punctuation
