@@ -48,9 +48,9 @@ def _f1(tp, sup, prd):
     return F.when(den > 0, 2.0 * tp / den).otherwise(F.lit(0.0))
 
 
-def scores_from_cells(wide: DataFrame, group: list[str], digits: int = 6) -> DataFrame:
+def scores_from_cells(wide: DataFrame, group: list[str], digits: int = 6, cells: bool = False) -> DataFrame:
     """N, accuracy, per-class F1 (zero division -> 0), macro F1 over
-    the classes present in truth or prediction."""
+    the classes present in truth or prediction; ``cells``: the nine cells too."""
     p = _per_class(wide)
     n = sum((p["support"][i] for i in range(K)), F.lit(0))
     acc = sum((p["tp"][i] for i in range(K)), F.lit(0)) / n
@@ -61,7 +61,8 @@ def scores_from_cells(wide: DataFrame, group: list[str], digits: int = 6) -> Dat
     return wide.select(*group, n.cast("long").alias("n"),
                        F.round(acc, digits).alias("accuracy"),
                        F.round(macro, digits).alias("f1_macro"),
-                       *[F.round(f1[i], digits).alias(f"f1_{names[i]}") for i in range(K)])
+                       *[F.round(f1[i], digits).alias(f"f1_{names[i]}") for i in range(K)],
+                       *[f"c{i}{j}" for i in range(K) for j in range(K) if cells])
 
 
 def classification_report(wide: DataFrame, group: list[str], digits: int = 4) -> DataFrame:

@@ -89,33 +89,27 @@ def nb_alpha_curve(train: DataFrame, val: DataFrame, doc_keys: list[str],
                    text: str = "review_text_clean", label: str = "sentiment_label") -> DataFrame:
     """In-domain validation predictions of one Naive Bayes model per
     (model key, round), round r using smoothing ``alphas[r-1]``; all rounds
-    in one job: the token counts are computed once and each count row fans
-    out to the rounds. Output: keys..., doc keys, round, alpha, label_id, pred.
+    in one job: the token counts are joined once and smoothed behind the join.
+    Output: keys..., doc keys, round, alpha, label_id, pred.
     """
     k = list(keys)
     counts = nb_token_counts(train, keys, text, label)
     totals = counts.groupBy(*k).agg(*[F.sum(f"n{i}").alias(f"t{i}") for i in range(N_CLASSES)],
                                     F.count(F.lit(1)).alias("v"))
-    grid = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("round"), F.lit(float(a)).alias("alpha"))
-                               for i, a in enumerate(alphas)])).alias("_g")
-    m = counts.join(F.broadcast(totals), k).select("*", grid)
-    m = m.select(*k, "token", "_g.round", F.array(*[
-        F.log((F.col(f"n{i}") + F.col("_g.alpha")) / (F.col(f"t{i}") + F.col("_g.alpha") * F.col("v")))
-        for i in range(N_CLASSES)]).alias("ll"))
-    toks = doc_tokens(val, doc_keys + k, text)
-    hit = toks.join(m, k + ["token"])
-    sums = hit.groupBy(*doc_keys, *k, "round").agg(
-        *[F.sum(F.col("cnt") * F.col("ll")[i]).alias(f"s{i}") for i in range(N_CLASSES)])
-    rounds = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("round"), F.lit(float(a)).alias("alpha"))
-                                 for i, a in enumerate(alphas)])).alias("_g")
+    # one model row a token: the rounds are columns of one aggregate behind the join
+    hit = doc_tokens(val, doc_keys + k, text).join(counts, k + ["token"]).join(F.broadcast(totals), k)
+    cells = [(r, i) for r in range(len(alphas)) for i in range(N_CLASSES)]
+    loglik = lambda r, i: F.log((F.col(f"n{i}") + alphas[r]) / (F.col(f"t{i}") + alphas[r] * F.col("v")))
+    sums = hit.groupBy(*doc_keys, *k).agg(*[F.sum(F.col("cnt") * loglik(r, i)).alias(f"s{r}_{i}") for r, i in cells])
     # priors: one row per model key
     base = val.select(*doc_keys, *k, _label_id(label).alias("label_id")) \
-        .join(F.broadcast(nb_priors(train, keys, label)), k).select("*", rounds) \
-        .select(*doc_keys, *k, "label_id", "prior", "_g.round", "_g.alpha")
-    scored = base.join(sums, doc_keys + k + ["round"], "left")
-    scores = F.array(*[F.round(F.col("prior")[i] + F.coalesce(F.col(f"s{i}"), F.lit(0.0)), 6)
-                       for i in range(N_CLASSES)])
-    return scored.select(*k, *doc_keys, "round", "alpha", "label_id", argmax(scores).alias("pred"))
+        .join(F.broadcast(nb_priors(train, keys, label)), k)
+    scores = lambda r: F.array(*[F.round(F.col("prior")[i] + F.coalesce(F.col(f"s{r}_{i}"), F.lit(0.0)), 6)
+                                 for i in range(N_CLASSES)])
+    rounds = F.explode(F.array(*[F.struct(F.lit(r + 1).alias("round"), F.lit(float(a)).alias("alpha"),
+                                          argmax(scores(r)).alias("pred")) for r, a in enumerate(alphas)]))
+    return base.join(sums, doc_keys + k, "left").select(*k, *doc_keys, "label_id", rounds.alias("_g")) \
+        .select(*k, *doc_keys, "_g.round", "_g.alpha", "label_id", "_g.pred")
 
 
 def materialize_model(model: DataFrame, priors: DataFrame) -> tuple[DataFrame, DataFrame]:

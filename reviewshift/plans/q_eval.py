@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -151,12 +151,9 @@ SELECT l.*, {', '.join(f'c.c{i}{j}' for i in range(3) for j in range(3))}
 FROM loso l JOIN cells c ON l.train_src = {sg.initcap('c.train_src')} AND l.test_src = {sg.initcap('c.test_src')}
  AND l.condition = {sg.initcap('c.condition')}
 WHERE l.train_src = l.test_src"""))(
-    lambda spark, sf: (lambda p: ex.title_case(
-        metrics.scores_from_cells(metrics.confusion_wide(p, GRID), GRID)
-        .join(metrics.confusion_wide(p, GRID), GRID)
-        .withColumn("eval_type", F.lit("In-Domain")))
-        .filter(F.col("train_src") == F.col("test_src")))(
-        _preds(spark, sf).filter(F.col("train_src") == F.col("test_src"))))
+    lambda spark, sf: ex.title_case(metrics.scores_from_cells(metrics.confusion_wide(
+        _preds(spark, sf).filter(F.col("train_src") == F.col("test_src")), GRID), GRID, cells=True)
+        .withColumn("eval_type", F.lit("In-Domain"))))
 
 # --- charts (V1..V6) ---------------------------------------------------------------------
 register("chart_confusion", W(L + [("cl", sg.cells_long_select())], """
@@ -203,8 +200,9 @@ def _profile(spark, sf):
     long = ind.select("train_src", "condition", F.explode(F.array(*[
         F.struct(F.lit(n).alias("metric"), F.col(c).alias("value")) for n, c in _PROFILE])).alias("x")) \
         .select("train_src", "condition", "x.metric", "x.value")
-    # the profile chart needs at least two in-domain models (the grid has at most 4 rows)
-    return long if ind.count() >= 2 else long.limit(0)
+    # the profile chart needs at least two in-domain models (the grid has at most 4, each with a row a metric)
+    rows = long.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return rows.filter(F.col("_n") >= 2 * len(_PROFILE)).drop("_n")
 
 
 register("chart_model_profile", W(L, " UNION ALL ".join(

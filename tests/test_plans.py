@@ -33,3 +33,14 @@ def test_document_scan_is_pruned(spark):
 def test_both_cleaning_paths_from_one_scan(spark):
     p = _plan(E.queries()["dual_path_clean"](spark, SF_SMALL))
     assert p.count("FileScan parquet") == 1 and "Generate explode" in p
+
+
+def test_evaluation_scores_once(spark):
+    p = _plan(E.queries()["evaluate_model"](spark, SF_SMALL))
+    assert len(re.findall(r"Scan parquet[^\n]*nb-model", p)) == 1
+
+
+def test_smoothing_rounds_are_columns_behind_the_join(spark):
+    """The rounds fan out once, after the validation tokens have met the model."""
+    p = _plan(E.queries()["best_model_select"](spark, SF_SMALL))
+    assert not [w for w in FORBIDDEN if w in p]
