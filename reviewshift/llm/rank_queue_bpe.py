@@ -2,12 +2,14 @@
 
 The symbols of a pre-token are a linked list over its bytes. A pair of neighbours that the
 vocabulary holds waits in the bucket of its rank, by the place where it begins. A hierarchical
-bitmap says which buckets hold something: a bit a rank, above it a bit for each word of 64, and so
+bitmap says which buckets hold something: a bit a rank, above it a bit for each word of 256, and so
 on up to one word, so the lowest rank is one find-first-set a level, however many ranks there are.
 A bucket is worked off from the left. A merge ends the pairs it takes part in: their entries stay
 where they are and are skipped when met, as the pair that begins there has another rank by then.
 Each merge puts two pairs in at most, so a pre-token of a million bytes costs little more than that
-many bytes in short ones; no step looks at the whole pre-token again.
+many bytes in short ones; no step looks at the whole pre-token again. Pre-tokens that a worker has
+not met share a queue, laid side by side: merges of the lowest rank of them all are merges of the
+lowest rank of each.
 
 Defined results: null and empty texts have no tokens and decode to nothing. There are no special
 tokens: their strings are text. A pre-token that is a token itself is that token, whatever its
@@ -18,9 +20,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,9 +34,11 @@ from pyspark.sql import types as T
 from .bpe import LOW, PATTERN, low_splitter
 from .common import append_columns, texts_of
 
-WORD = 64              # bits of a word of the bitmap
+SHIFT = 8              # a word of the bitmap has two to this power of bits
+MASK, BIT = (1 << SHIFT) - 1, [1 << k for k in range(1 << SHIFT)]
 CACHE_WORDS = 400_000  # pre-tokens whose ids a worker keeps,
 CACHED_CHARS = 200     # none longer than this
+QUEUE_CHARS = 500_000  # of pre-tokens that share a queue (one at least)
 
 
 class RankQueue:
@@ -42,42 +49,39 @@ class RankQueue:
         self.levels: list[list[int]] = []  # from one bit a rank up to a single word
         size = max(ranks, 1)
         while not self.levels or size > 1:
-            size = -(-size // WORD)
+            size = -(-size >> SHIFT)
             self.levels.append([0] * size)
+        self.down = self.levels[::-1]
 
-    def push(self, rank: int, places: list[int]) -> None:
-        held = self.bucket.get(rank)
-        if held is not None:
-            held += places
-            return
+    def open(self, rank: int, places: list[int]) -> None:
+        """A new bucket; later places of the rank are appended to it."""
         self.bucket[rank] = places
         for level in self.levels:
-            rank, bit = divmod(rank, WORD)
-            before = level[rank]
-            level[rank] = before | 1 << bit
-            if before:  # the levels above know
-                break
-
-    def first(self) -> int | None:
-        """The lowest rank with a bucket."""
+            bit = BIT[rank & MASK]
+            rank >>= SHIFT
+            if level[rank]:  # the levels above know
+                level[rank] |= bit
+                return
+            level[rank] = bit
+
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its bucket, taken out, from the left; None if there is none."""
+        if not self.bucket:
+            return None
         at = 0
-        for level in reversed(self.levels):
+        for level in self.down:
             word = level[at]
-            if not word:
-                return None
-            at = at * WORD + (word & -word).bit_length() - 1
-        return at
-
-    def take(self, rank: int) -> list[int]:
-        """The bucket of ``rank``, taken out, from the left."""
-        places = self.bucket.pop(rank)
-        for level in self.levels:
-            rank, bit = divmod(rank, WORD)
-            level[rank] &= ~(1 << bit)
-            if level[rank]:
+            at = (at << SHIFT) + (word & -word).bit_length() - 1
+        rank = at
+        for level in self.levels:  # the bit is the lowest of its word, on each level
+            at >>= SHIFT
+            word = level[at] = level[at] & (level[at] - 1)
+            if word:
                 break
-        places.sort()
-        return places
+        places = self.bucket.pop(rank)
+        if len(places) > 1:
+            places.sort()
+        return rank, places
 
 
 class RankedBpe:
@@ -91,74 +95,105 @@ class RankedBpe:
             self.token[rank] = piece
         self.decimal = [str(i) for i in range(size)]
         self.longest = max(map(len, ranks), default=0)
+        self.byte_pairs = np.full(1 << 16, -1, np.int32)
+        for piece, rank in ranks.items():
+            if len(piece) == 2:
+                self.byte_pairs[piece[0] << 8 | piece[1]] = rank
         self.queue = RankQueue(size)
         self.known: dict[str, tuple[int, ...]] = {}
         self.split_any, self.split_low = regex.compile(PATTERN).findall, low_splitter().findall
         self.high = regex.compile(f"[^\0-{chr(LOW - 1)}]").search
 
-    def merged(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-token."""
-        ranks, queue, longest, n = self.ranks, self.queue, self.longest, len(word)
-        if word in ranks:
-            return (ranks[word],)
-        end = list(range(1, n + 1))         # where the symbol that begins here ends
-        before = list(range(-1, n - 1))     # where the symbol before begins
-        pair: list[int | None] = [None] * n  # rank of the pair that begins here
-        for i in range(n - 1):
-            rank = pair[i] = ranks.get(word[i:i + 2])
-            if rank is not None:
-                queue.push(rank, [i])
-
-        def put(i: int, stop: int) -> int | None:
-            rank = pair[i] = ranks.get(word[i:stop]) if stop - i <= longest else None
-            if rank is not None:
-                queue.push(rank, [i])
-            return rank
-
-        while (rank := queue.first()) is not None:
-            places = queue.take(rank)
+    def merged(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of pre-tokens that share one queue; no pair reaches over the start of another."""
+        rank_of, longest = self.ranks.get, self.longest
+        bucket, open_bucket, pop = self.queue.bucket, self.queue.open, self.queue.pop
+        own = [w for w in words if w not in self.ranks and w]
+        data = b"".join(own)
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        starts = np.zeros(len(data) + 1, np.uint8)  # 1: a pre-token begins here, or the data end
+        starts[np.cumsum(sizes)] = starts[0] = 1
+        ranks = self._first_ranks(data, starts)
+        edge = starts.tobytes()
+        pair = array("i", ranks.tobytes())              # rank of the pair that begins here
+        end = array("i", range(1, len(data) + 1))       # where the symbol that begins here ends
+        before = array("i", range(-1, len(data) - 1))   # where the symbol before begins
+        while (lowest := pop()) is not None:
+            rank, places = lowest
             for k, i in enumerate(places):
                 if pair[i] != rank:  # stale: a symbol of the pair has been merged
                     continue
                 middle = end[i]
                 stop = end[i] = end[middle]
-                pair[middle] = None
-                made = []
-                if stop < n:
+                made = also = pair[middle] = -1
+                if not edge[stop]:
                     before[stop] = i
-                    made.append(put(i, end[stop]))
-                else:
-                    pair[i] = None
-                if i:
-                    made.append(put(before[i], stop))
-                if any(r is not None and r < rank for r in made):
-                    # a new pair goes first; the rest of this bucket waits
-                    if k + 1 < len(places):
-                        queue.push(rank, places[k + 1:])
+                    if end[stop] - i <= longest:
+                        made = rank_of(data[i:end[stop]], -1)
+                        if made in bucket:
+                            bucket[made].append(i)
+                        elif made >= 0:
+                            open_bucket(made, [i])
+                pair[i] = made
+                if not edge[i]:
+                    left = before[i]
+                    if stop - left <= longest:
+                        also = rank_of(data[left:stop], -1)
+                        if also in bucket:
+                            bucket[also].append(left)
+                        elif also >= 0:
+                            open_bucket(also, [left])
+                    pair[left] = also
+                if (-1 < made < rank or -1 < also < rank) and k + 1 < len(places):
+                    open_bucket(rank, places[k + 1:])  # a new pair goes first
                     break
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[word[i:end[i]]])
+        ids: list[int] = []
+        cut = [0]
+        i = 0
+        while i < len(data):
+            ids.append(rank_of(data[i:end[i]]))
             i = end[i]
-        return tuple(out)
+            if edge[i]:
+                cut.append(len(ids))
+        made_ids = (tuple(ids[a:z]) for a, z in zip(cut, cut[1:]))
+        return [(self.ranks[w],) if w in self.ranks else next(made_ids) if w else () for w in words]
+
+    def _first_ranks(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """Rank of each pair of bytes (-1: none), put into the buckets."""
+        ranks = np.full(len(data), -1, np.int32)
+        letters = np.frombuffer(data, np.uint8).astype(np.int64)
+        ranks[:-1] = self.byte_pairs[letters[:-1] << 8 | letters[1:]]
+        ranks[starts[1:] == 1] = -1
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        edges = np.flatnonzero(np.diff(ranks[places])) + 1
+        for own in np.split(places, edges) if len(places) else []:
+            self.queue.open(int(ranks[own[0]]), own.tolist())
+        return ranks
 
     def split(self, text: str) -> list[str]:
         return self.split_any(text) if self.high(text) else self.split_low(text)
 
-    def encode(self, text: str) -> list[int]:
-        words = self.split(text)
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        long: list[str] = []
-        for w in set(words).difference(known):
-            known[w] = self.merged(w.encode())
+        each = [self.split(t) for t in texts]
+        new = sorted(set(chain.from_iterable(each)).difference(known))
+        part, held = [], 0
+        for w in new:
+            part.append(w)
+            held += len(w)
+            if held >= QUEUE_CHARS:
+                known.update(zip(part, self.merged([w.encode() for w in part])))
+                part, held = [], 0
+        known.update(zip(part, self.merged([w.encode() for w in part])))
+        for words in each:
+            yield list(chain.from_iterable(map(known.__getitem__, words)))
+        for w in new:
             if len(w) > CACHED_CHARS:
-                long.append(w)
-        ids = list(chain.from_iterable(map(known.__getitem__, words)))
-        for w in long:
-            del known[w]
-        return ids
+                del known[w]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -190,8 +225,7 @@ def add_tokens(docs: DataFrame, path: str, text_col: str = "text", ids: str | No
     def run(b: pa.RecordBatch) -> dict[str, pa.Array]:
         bpe = vocabulary(path)
         out: dict[str, list] = {n: [] for n in new}
-        for text in texts_of(b.column(0)):
-            own = bpe.encode(text)
+        for own in bpe.encode(texts_of(b.column(0))):
             out["n_tokens"].append(len(own))
             if ids:
                 out[ids].append(own)
