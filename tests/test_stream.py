@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -69,3 +71,46 @@ def test_stream_dedup_keeps_one_per_text(spark):
     out = st.stream_dedup(spark, landing, io.scratch_path(spark, "t-dedup"), io.scratch_path(spark, "t-ckpt4"))
     assert out.count() == reviews.select("review_text").distinct().count()
     assert out.select("text_hash").distinct().count() == out.count()
+
+
+def _land(spark, landing, rows):
+    spark.createDataFrame(rows, st.REVIEW_EVENT).coalesce(1).write.mode("append").json(landing)
+
+
+def test_dedup_state_expires_and_reports(spark):
+    """Three restarts of one stream: repeats are counted, a text that was away comes back as returned, and in the end
+    every landed row is kept or counted."""
+    landing, out, ck = (io.scratch_path(spark, n) for n in ("t-landing-ttl", "t-ttl", "t-ckpt-ttl"))
+    t = datetime(2024, 1, 1)
+    ttl = dict(ttl=timedelta(seconds=20), mark=timedelta(hours=1))
+
+    def run():
+        kept = st.stream_dedup(spark, landing, out, ck, **ttl).collect()
+        side = st.dedup_side(spark, out).collect()
+        return ({(r["review_id"], r["review_text"], r["status"]) for r in kept},
+                {(r["review_id"], r["status"]): r["repeats"] for r in side if r["status"] == "expired"})
+
+    _land(spark, landing, [(3, "a", t), (2, "a", t), (4, None, t), (5, None, None), (6, "b", t)])
+    first, expired = run()
+    assert first == {(2, "a", "first"), (4, None, "first"), (6, "b", "first")} and not expired
+    _land(spark, landing, [(7, "a", t - timedelta(days=9)), (8, "c", t)])  # late, and within the time: a repeat
+    second, expired = run()
+    assert second == first | {(8, "c", "first")} and not expired
+    time.sleep(25)
+    _land(spark, landing, [(9, "a", t), (10, "a", t)])
+    third, expired = run()
+    assert third == second | {(9, "a", "returned")}
+    assert expired[2, "expired"] == 2 and expired[4, "expired"] == 1  # 3 and 7 of a; 5 of the null text
+    time.sleep(25)
+    _land(spark, landing, [(11, "d", t)])
+    fourth, expired = run()
+    assert fourth == third | {(11, "d", "first")} and expired[9, "expired"] == 1
+    assert len(fourth) + sum(expired.values()) == 10
+
+
+def test_dedup_combines_a_hot_text_before_its_state():
+    import pandas as pd
+    b = pd.DataFrame({"review_id": range(100), "review_text": ["x"] * 99 + ["y"], "text_hash": ["x"] * 99 + ["y"],
+                      "event_time": [datetime(2024, 1, 2)] * 98 + [datetime(2024, 1, 1)] * 2})
+    got, = st._combined(iter([b]))
+    assert got[["review_id", "rows"]].values.tolist() == [[98, 99], [99, 1]]
