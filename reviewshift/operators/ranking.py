@@ -47,6 +47,17 @@ def range_rank(df: DataFrame, group_cols: list[str], order: str, out: str = "ran
     return _bucketed_rank(df, group_cols, bucket, [order], out)
 
 
+def with_group(df: DataFrame, sizes: DataFrame, group_cols: list[str]) -> DataFrame:
+    """``df`` with the columns of ``sizes``, a table of one row a group (bounded by the groups of the study, so it is
+    broadcast). Null group values are a group of their own."""
+    named = sizes.select(*[F.col(c).alias(f"_g{group_cols.index(c)}") if c in group_cols else F.col(c)
+                           for c in sizes.columns])
+    on = F.lit(True)
+    for i, c in enumerate(group_cols):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(F.broadcast(named), on).drop(*[f"_g{i}" for i in range(len(group_cols))])
+
+
 def _bucketed_rank(df: DataFrame, group_cols: list[str], bucket: Column, order: list[str], out: str) -> DataFrame:
     """Rank inside (group, bucket) plus the sizes of the group's earlier buckets."""
     g = list(group_cols)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from .ranking import hash_rank, md5_key
+from .ranking import hash_rank, md5_key, with_group
 
 KEYS = ("source_seq", "row_seq")
 SPLIT_COLS = ("review_text_clean", "review_text", "rating", "sentiment_label",
@@ -101,13 +101,9 @@ def stratified_split(df: DataFrame, strata: list[str] | None = None,
     alloc = split_allocation(df, strata, label)
     keyed = df.withColumn("_h", md5_key(*keys, seed=seed))
     ranked = hash_rank(keyed, strata + [label], "_h", list(keys), out="_rk")
-    # allocation has one row per (stratum, class): bounded by the number of
-    # platforms x conditions x 3 classes, so it is broadcast
-    sizes = alloc.select(*[F.col(c).alias(f"_a{i}") for i, c in enumerate(strata + [label])], "n_train", "n_val")
-    on = F.lit(True)
-    for i, c in enumerate(strata + [label]):
-        on = on & F.col(c).eqNullSafe(F.col(f"_a{i}"))
-    j = ranked.join(F.broadcast(sizes), on).drop(*[f"_a{i}" for i in range(len(strata) + 1)])
+    # allocation has one row per (stratum, class): platforms x conditions x classes
+    by = strata + [label]
+    j = with_group(ranked, alloc.select(*by, "n_train", "n_val"), by)
     split = (F.when(F.col("_rk") <= F.col("n_train"), "train")
              .when(F.col("_rk") <= F.col("n_train") + F.col("n_val"), "val")
              .otherwise("test"))
@@ -125,13 +121,13 @@ def split_projection(df: DataFrame) -> DataFrame:
 def sample_per_group(df: DataFrame, group: str = "source_platform", n_max: int = 5000,
                      seed: int = lx.RANDOM_STATE, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """min(n_max, total // 2) seeded-hash rows per group (a smaller group
-    is kept whole)."""
+    is kept whole). A null group is a group."""
     keyed = df.withColumn("_h", md5_key(*keys, seed=seed))
     ranked = hash_rank(keyed, [group], "_h", list(keys), out="_rk")
     # one row per group, total over all groups alongside (groups are few)
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_total", F.sum("_n").over(Window.partitionBy()))
-    return (ranked.join(F.broadcast(sizes.select(group, "_total")), group)
+    return (with_group(ranked, sizes.select(group, "_total"), [group])
             .filter(F.col("_rk") <= F.least(F.lit(n_max), F.floor(F.col("_total") / 2)))
             .drop("_h", "_rk", "_total"))
 

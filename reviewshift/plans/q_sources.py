@@ -111,7 +111,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 PRODUCT_SQL = """
 SELECT text AS comment, CAST(turn % 5 + 1 AS INTEGER) AS rating,
        CASE WHEN role = 'user' THEN concat('c', CAST(conv_id AS VARCHAR)) END AS username,
-       conv_id * 1000 + turn AS row_seq
+       conv_id * 4294967296 + turn AS row_seq
 FROM conversations"""
 ADAPTED_CTES = [
     ("app", APPSTORE_SQL), ("bin", BINARY_SQL), ("prod", PRODUCT_SQL),
@@ -173,6 +173,20 @@ def _flatten(spark, sf):
 
 register("flatten_review_pages", PAGES_ORACLE)(_flatten)
 
+
+
+def _quarantine(spark, sf):
+    """The landed pages that do not fit, from their JSON lines."""
+    lines = fx.landed_pages(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    return pg.quarantined(pg.parse_pages(lines)).select("shop", "requested_rating", "page", "pos", "reason")
+
+
+register("quarantine_pages", W(sg.reviews_ctes() + [("rk", """
+SELECT *, row_number() OVER (PARTITION BY product_name, rating ORDER BY review_id) AS rk FROM reviews""")], """
+SELECT DISTINCT product_name AS shop, rating AS requested_rating, CAST((rk - 1) // 50 + 1 AS BIGINT) AS page,
+       CAST(NULL AS INTEGER) AS pos, 'no envelope' AS reason
+FROM rk WHERE ((rk - 1) // 50 + 1 + rating) % 7 = 3"""))(_quarantine)
+
 register("extract_id_from_html", W([("sp", fx.SHOP_PAGES_SQL)], "SELECT page_id, coalesce(" + ", ".join(
     f"nullif(regexp_extract(html, {sg.q(p)}, 1), '')" for p in pg.PATTERNS) + ") AS shop_id FROM sp"))(
     lambda spark, sf: fx.shop_pages(spark, sf).select("page_id", pg.extract_id_from_html("html").alias("shop_id")))

@@ -212,4 +212,4 @@ def product_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("text").alias("comment"), (F.col("turn") % 5 + 1).cast("int").alias("rating"),
                     F.when(F.col("role") == "user", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
                     .alias("username"),
-                    (F.col("conv_id") * 1000 + F.col("turn")).alias("row_seq"))
+                    (F.col("conv_id") * (1 << 32) + F.col("turn")).alias("row_seq"))

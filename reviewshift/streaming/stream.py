@@ -34,13 +34,22 @@ def _run(writer) -> None:
 
 def stream_ingest(spark: SparkSession, landing: str, out: str, checkpoint: str,
                   files_per_trigger: int = 2) -> DataFrame:
-    """ST1: landed review pages -> flattened RAW rows appended as parquet."""
-    src = (spark.readStream.schema(pg.LANDED).option("maxFilesPerTrigger", files_per_trigger)
-           .json(landing))
-    flat = pg.flatten_review_pages(src)
-    _run(flat.writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", checkpoint).outputMode("append"))
-    return spark.read.schema(flat.schema).parquet(out)
+    """ST1: landed review pages -> flattened RAW rows appended as parquet. Pages and items that do not fit are written
+    beside them (``fits=false``), so that rows and quarantine together are all that landed: ``ingest_quarantine``."""
+    src = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(landing)
+    parsed = pg.parse_pages(src).withColumn("fits", F.col("reason").isNull())
+    _run(parsed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+         .partitionBy("fits").outputMode("append"))
+    return pg.reviews_of(_ingested(spark, out).filter("fits").drop("fits"))
+
+
+def _ingested(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*pg.PARSED, T.StructField("fits", T.BooleanType())])).parquet(out)
+
+
+def ingest_quarantine(spark: SparkSession, out: str) -> DataFrame:
+    """What ``stream_ingest`` could not read, with the reason."""
+    return pg.quarantined(_ingested(spark, out).filter("not fits"))
 
 
 def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str,
