@@ -4,10 +4,9 @@ Rule spans are the leftmost non-overlapping matches of each rule, of which those
 rule's length are dropped. Entropy spans are runs of token characters with a digit whose best
 window of ``WINDOW`` characters reaches the threshold of its character class; a run inside a rule
 span, or one on the allow-list, adds nothing. Of a run that rule spans cover in part, the pieces
-outside them are runs of their own (``pieces``, which the query and the pipeline set; without it
-such a run adds nothing). The window slides one character a step: the counts of the character that
-enters and of the one that leaves change by one, and the sum of c*log2(c) changes by two table
-lookups.
+outside them are runs of their own. The window slides one character a step: the counts of the
+character that enters and of the one that leaves change by one, and the sum of c*log2(c) changes by
+two table lookups, so a run takes time in proportion to its length.
 
 Everything is an expression over one row: no shuffle, no Python. Positions are code points, ends
 exclusive. Null texts count as empty and have no spans.
@@ -32,7 +31,8 @@ RULES = (
 #: Maximal runs of 20 or more token characters that hold a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
-WINDOW = 20
+WINDOW, BITS = 20, 5  # characters of a window, and bits that hold a count of them
+SPOT = "struct<word:int,by:int,one:bigint>"
 #: Character class: pattern of the whole run, bits a character that a window has to reach.
 CLASSES = (("hexadecimal", r"^([0-9a-f]+|[0-9A-F]+)$", 3.0),
            ("letters of one case", r"^([0-9a-z+/_=-]+|[0-9A-Z+/_=-]+)$", 3.6),
@@ -95,50 +95,49 @@ def rule_spans(text: Column, kind: int) -> Column:
 
 
 def window_entropy(run: Column) -> Column:
-    """Largest Shannon entropy, bits a character, of a window of WINDOW characters of ``run``."""
-    c_log_c = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    spot = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i, F.lit(1)))
-
-    def step(acc, i):
-        enters = spot(i)
-        leaves = F.when(i > WINDOW, spot(i - WINDOW)).otherwise(F.lit(0))
-        more = F.get(acc["counts"], enters)
-        up = acc["s"] - F.get(c_log_c, more) + F.get(c_log_c, more + 1)
-        less = F.get(acc["counts"], leaves) + F.when(enters == leaves, 1).otherwise(0)
-        s = F.when(leaves > 0, up - F.get(c_log_c, less) + F.get(c_log_c, less - 1)).otherwise(up)
-        counts = F.transform(acc["counts"], lambda n, j: n + F.when(j == enters, 1).otherwise(0)
-                             - F.when((j == leaves) & (leaves > 0), 1).otherwise(0))
-        bits = F.when(i >= WINDOW, math.log2(WINDOW) - s / WINDOW).otherwise(F.lit(0.0))
-        return F.struct(counts.alias("counts"), s.alias("s"), F.greatest(acc["best"], bits).alias("best"))
-
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0.0).alias("s"),
-                     F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda acc: acc["best"])
-
-
-def _apart(runs: Column, base: Column) -> Column:
-    """Those of the disjoint ``runs`` (start, m) that meet no span of ``base``: in the order of
-    starts, no earlier span ends behind a run's start and the next span starts behind its end."""
-    event = "array<struct<start:int,run:int,end:int,m:string>>"
-    events = F.array_sort(F.concat(
-        F.transform(base, lambda b: F.struct(b["start"], F.lit(0), b["end"], F.lit(None))).cast(event),
-        F.transform(runs, lambda x: F.struct(x["start"], F.lit(1), x["start"] + F.length(x["m"]), x["m"])).cast(event)))
-
-    def swept(es):
-        ends = _before(F.transform(es, lambda e: F.when(e["run"] == 0, e["end"]).otherwise(F.lit(0))), F.greatest)
-        after = F.concat(F.slice(es, 2, F.greatest(F.size(es), F.lit(1))), F.array(F.lit(None).cast(event[6:-1])))
-        met = F.zip_with(ends, after, lambda end, nxt: F.struct(end.alias("end"), nxt.alias("nxt")))
-        return F.zip_with(es, met, lambda e, o: F.struct(
-            e["start"].alias("start"), e["m"].alias("m"),
-            ((e["run"] == 1) & (o["end"] <= e["start"])
-             & ~F.coalesce((o["nxt"]["run"] == 0) & (o["nxt"]["start"] < e["end"]), F.lit(False))).alias("free")))
-
-    return F.when(F.size(base) == 0, runs).otherwise(F.transform(
-        F.filter(let(events, swept), lambda x: x["free"]),
-        lambda x: F.struct(x["start"].alias("start"), x["m"].alias("m"))))
-
-
-def entropy_spans(text: Column, base: Column, pieces: bool = False) -> Column:
+    """Largest Shannon entropy, bits a character, of a window of WINDOW characters of ``run`` (0 for
+    a shorter run). The counts of all letters are fields of BITS bits in a few longs, so a step of
+    the window changes two of them; the letters are looked up once, as an array."""
+    c_log_c = [c * math.log2(c) if c else 0.0 for c in range(WINDOW + 2)]
+    gain = F.array(*[F.lit(b - a) for a, b in zip(c_log_c, c_log_c[1:])])  # of one more than c
+    number = F.array(*[F.lit(ALPHABET.find(chr(c))) for c in range(128)])
+    fields = 63 // BITS
+    n_longs = -(-len(ALPHABET) // fields)
+    letters = F.transform(F.slice(F.split(run, ""), F.lit(1), F.length(run)), lambda c: F.get(number, F.ascii(c)))
+    shifted = lambda how, value, by: F.call_function(how, value, by)
+
+    def spot(letter):
+        return F.struct(F.floor(letter / fields).cast("int").alias("word"), (letter % fields * BITS).alias("by"),
+                        shifted("shiftleft", F.lit(1).cast("long"), letter % fields * BITS).alias("one"))
+
+    def moves(spots):
+        """The letter that enters and the one that leaves (null while the first window fills)."""
+        gone = F.concat(F.transform(F.slice(spots, 1, WINDOW), lambda _: F.lit(None).cast(SPOT)),
+                        F.slice(spots, 1, F.greatest(F.size(spots) - WINDOW, F.lit(0))))
+        return F.zip_with(spots, gone, lambda e, x: F.struct(e.alias("enters"), x.alias("leaves")))
+
+    def held(acc, spot):
+        return shifted("shiftright", F.get(acc["counts"], spot["word"]), spot["by"]).bitwiseAND(F.lit((1 << BITS) - 1))
+
+    def step(acc, m):
+        e, x = m["enters"], m["leaves"]
+        full = x.isNotNull()
+        less = held(acc, x) + F.when(e["word"] * 63 + e["by"] == x["word"] * 63 + x["by"], 0).otherwise(-1)
+        s = acc["s"] + F.get(gain, held(acc, e).cast("int")) - F.when(full, F.get(gain, less.cast("int"))).otherwise(0.0)
+        counts = F.transform(acc["counts"], lambda n, j: n + F.when(j == e["word"], e["one"]).otherwise(F.lit(0).cast("long"))
+                             - F.when(full & (j == x["word"]), x["one"]).otherwise(F.lit(0).cast("long")))
+        # a letter leaves, so the window before this step was a whole one
+        least = F.when(full, F.least(acc["least"], acc["s"])).otherwise(acc["least"])
+        return F.struct(counts.alias("counts"), s.alias("s"), least.alias("least"))
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), n_longs).alias("counts"), F.lit(0.0).alias("s"),
+                     F.lit(float("inf")).alias("least"))
+    best = let(F.transform(letters, spot), lambda spots: F.aggregate(
+        moves(spots), start, step, lambda acc: math.log2(WINDOW) - F.least(acc["least"], acc["s"]) / WINDOW))
+    return F.when(F.length(run) < WINDOW, 0.0).otherwise(best)
+
+
+def entropy_spans(text: Column, base: Column) -> Column:
     def keep(x):
         run, kind = x["m"], None
         for _, pattern, bits in reversed(CLASSES):
@@ -149,25 +148,21 @@ def entropy_spans(text: Column, base: Column, pieces: bool = False) -> Column:
         return ~allowed & (F.length(run) >= WINDOW) & (window_entropy(run) >= kind)
 
     def outside(runs):
-        if not pieces:
-            return _spans(_apart(runs, base), len(RULES), keep)
         blank = masked(text, base, lambda n: F.repeat(F.lit(" "), n))
         own = F.when(F.size(base) == 0, runs).otherwise(let(blank, lambda rest: _located(rest, CANDIDATE)))
         return _spans(own, len(RULES), keep)
 
     return let(_located(text, CANDIDATE), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{SPAN}>"))
-                .otherwise(outside(runs)))
+               .otherwise(outside(runs)))
 
 
-def scan(docs: DataFrame, text_col: str = "text", base: str = "base_spans", every: str = "spans",
-         pieces: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", base: str = "base_spans", every: str = "spans") -> DataFrame:
     """``docs`` plus two sorted arrays of struct(start, kind, end): rule spans, and all spans.
-    Columns of ``docs`` that are called like them are replaced. ``pieces``: runs are scanned
-    outside the rule spans that meet them."""
+    Columns of ``docs`` that are called like them are replaced."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.array_sort(F.concat(*[rule_spans(text, k) for k in range(len(RULES))]))
     return (docs.withColumn(base, found)
-            .withColumn(every, F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base), pieces)))))
+            .withColumn(every, F.array_sort(F.concat(F.col(base), entropy_spans(text, F.col(base))))))
 
 
 def written(spans: Column) -> Column:
