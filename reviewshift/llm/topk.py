@@ -5,9 +5,9 @@ vector x, the largest | d(q, p) - d(x, p) | over the pivots is a lower bound of
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2, so it gives an upper bound of the score. Candidates are
 evaluated in the order of that bound; once it falls below the k-th best score the rest are out.
 
-Queries go over the table in blocks of about ``query_block``: a block is broadcast (its size does
-not grow with the data), each task keeps the k best of each query over the rows that it reads, and
-a window takes the k best over the tasks. Pivots come from the first ``sample`` rows by id hash,
+Queries go over the table in blocks of about ``query_block``, one after another: a block is
+broadcast (its size is bounded), each task keeps the k best of each query over the rows that it
+reads, a window takes the k best over the tasks, and they are written before the next block begins. Pivots come from the first ``sample`` rows by id hash,
 each the one farthest from those before; they bear on speed only.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part. Short
@@ -20,17 +20,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator, Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, stage_table
+from .common import append_columns, stage_path, stage_table
 
-SCALE, PIVOTS, SAMPLE, QUERY_BLOCK, STEP = 1024, 16, 2000, 2000, 64
+SCALE, PIVOTS, SAMPLE, STEP = 1024, 32, 2000, 64
+QUERY_BLOCK, BLOCK_BYTES = 2000, 16_000_000  # queries of a block, and bytes of their vectors and distances
 EXACT = float(1 << 52)  # products up to here are exact in doubles
 LONG = (1 << 63) - 1
 
@@ -85,6 +86,7 @@ class Best:
         with np.errstate(over="ignore"):
             self.norm = (q * q).sum(axis=1)
         self.found: list[list[tuple[int, bool, int]]] = [[] for _ in ids]  # (-score, id is null, id)
+        self.scored = 0
 
     def add(self, ids: np.ndarray, null: np.ndarray, x: np.ndarray, dist: np.ndarray) -> None:
         width = max(x.shape[1], self.q.shape[1])
@@ -106,6 +108,7 @@ class Best:
                 if len(held) == self.k and top[part[0]] < -held[-1][0]:
                     break
                 got = scores(x[part], q[k])
+                self.scored += len(part)
                 held += zip((-got).tolist(), null[part].tolist(), ids[part].tolist())
                 held.sort()
                 del held[self.k:]
@@ -138,25 +141,36 @@ def _floor(x: Column) -> Column:
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-           query_block: int = QUERY_BLOCK) -> DataFrame:
+           query_block: int = QUERY_BLOCK, n_pivots: int = PIVOTS, stats: dict[str, int] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` best of every row for each query; ``is_query`` is a
-    condition on ``id``. Ties go to the smaller id."""
-    rows = prepared(vectors, id_col, vector_col)
+    condition on ``id``. Ties go to the smaller id. ``stats`` gets the numbers of pairs of a query and a
+    row, and of those whose score was computed; the others were spared by their bound."""
+    spark = vectors.sparkSession
+    rows = prepared(vectors, id_col, vector_col, n_pivots)
     queries = rows.filter(F.col("id").isNotNull() & is_query).distinct()
-    n_blocks = math.ceil(queries.count() / query_block)
-    parts = []
-    for block in range(n_blocks):
-        own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).orderBy("id", "v").collect()
-        if own:
-            parts.append(_block(rows, own, k))
-    schema = "query_no long, query_id long, vec_id long, score long"
-    found = reduce(DataFrame.unionAll, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
+    n, width, wide = queries.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.size("dist"))).first()
+    size = max(1, min(query_block, BLOCK_BYTES // (8 * ((width or 0) + (wide or 0) + 1))))
+    n_blocks = math.ceil(n / size)
+    queries = stage_table(queries.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(max(n_blocks, 1)))), "queries")
+    pairs, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
     order = Window.partitionBy("query_id", "query_no").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
-
-
-def _block(rows: DataFrame, own: list, k: int) -> DataFrame:
+    out, schema = stage_path(spark, "best"), "query_id long, rank int, vec_id long, score long"
+    # a block is all that the driver and the tasks hold of the queries; its result is written before the next begins
+    for block in range(n_blocks):
+        own = queries.filter(F.col("block") == block).orderBy("id", "v").collect()
+        if not own:
+            continue
+        found, shared = _block(rows, own, k, pairs, scored)
+        (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+         .select("query_id", "rank", "vec_id", "score").write.parquet(f"{out}/block={block}"))
+        shared.unpersist()
+    if stats is not None:
+        stats.update(pairs=pairs.value, scored=scored.value)
+    return spark.read.schema(schema).parquet(out).drop("block") if n else spark.createDataFrame([], schema)
+
+
+def _block(rows: DataFrame, own: list, k: int, pairs: Accumulator, scored: Accumulator) -> tuple[DataFrame, Broadcast]:
+    """query_no, query_id, vec_id, score: the k best of each task's rows for the queries ``own``."""
     width = max(len(r["v"]) for r in own)
     held = (np.array([r["id"] for r in own], np.int64),
             np.array([list(r["v"]) + [0.0] * (width - len(r["v"])) for r in own]).reshape(len(own), width),
@@ -169,11 +183,13 @@ def _block(rows: DataFrame, own: list, k: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 null = np.asarray(b.column(0).is_null())
+                pairs.add(b.num_rows * len(ids))
                 best.add(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), null,
                          matrix(b.column(1)), matrix(b.column(2), dist.shape[1]))
+        scored.add(best.scored)
         out = [(n, int(ids[n]), None if null else i, -s) for n, held in enumerate(best.found) for s, null, i in held]
         cols = list(zip(*out)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
                                          names=["query_no", "query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_no long, query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_no long, query_id long, vec_id long, score long"), shared

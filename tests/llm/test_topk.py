@@ -46,6 +46,18 @@ def test_equals_brute_force(spark, query_block):
     assert searched(df, query_block=query_block) == brute(rows)
 
 
+def test_no_more_than_a_block_of_queries_is_held(spark, monkeypatch):
+    sizes, plain = [], topk._block
+    monkeypatch.setattr(topk, "_block", lambda rows, own, *a: sizes.append(len(own)) or plain(rows, own, *a))
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 8 * 10 * (8 + 4 + 1))  # ten queries
+    rng, stats = random.Random(8), {}
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(0, 8000, 25)]
+    df = vectors(spark, [(*r, "x", 1, 0.0) for r in rows])
+    assert searched(df, n_pivots=4, stats=stats) == brute(rows)
+    assert sum(sizes) == 80 and len(sizes) > 4 and max(sizes) < 30
+    assert stats["pairs"] == 80 * 320 and 0 < stats["scored"] <= stats["pairs"]
+
+
 def test_huge_components(spark):
     rows = [(i, [v, 1.0]) for i, v in enumerate([1e30, -1e30, 1e15, 2.5, 1e300, 0.1])] + [(100, [3.0, 2.0]), (200, [1e200, 0.0])]
     assert searched(vectors(spark, [(*r, "x", 1, 0.0) for r in rows])) == brute(rows)
