@@ -45,9 +45,11 @@ class Tree:
 
 
 def tree(n_shards: int) -> Tree:
-    """The base tree of 40 shards, grown to ``n_shards``; fewer than 40 are regions of one shard."""
-    base = Tree((((1.0,) * SHARDS_PER_RACK,) * RACKS,) * REGIONS)
-    out = base if n_shards >= base.n_shards else Tree(())
+    """The base tree of 40 shards, grown to ``n_shards``. Fewer shards need a tree of their own (``shape`` of
+    ``assign``): a smaller one that grew into the base would move rows between its old shards."""
+    out = Tree((((1.0,) * SHARDS_PER_RACK,) * RACKS,) * REGIONS)
+    if n_shards < out.n_shards:
+        raise ValueError(f"give a tree for fewer than {out.n_shards} shards")
     while out.n_shards < n_shards:
         out = out.grown()
     return out
@@ -105,8 +107,11 @@ def with_slot(df: DataFrame, group: str, order: list[str], out: str = "slot") ->
 
 def assign(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text",
            shape: Tree | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, grown_shard (with one more shard) of each row."""
+    """doc_id, size, text_crc32, shard, slot, grown_shard (with one more shard) of each row. ``shape`` is a tree of at
+    most ``n_shards`` shards, which is grown to that number; without one it is the base tree."""
     shape = shape or tree(n_shards)
+    while shape.n_shards < n_shards:
+        shape = shape.grown()
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
                          F.crc32(text.cast("binary")).alias("text_crc32"))

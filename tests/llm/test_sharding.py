@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewshift.llm import queries, sharding
@@ -73,3 +74,14 @@ def test_awkward_rows(spark, awkward, empty):
     sizes = {r["size"] for r in rows if r["doc_id"] in (2, 3)}
     assert sizes == {16}
     assert sharding.assign(empty, 40).count() == 0
+
+
+def test_one_growth_rule_for_all_counts(spark):
+    """Fewer than 40 shards: the caller's tree grows shard by shard, also past 40, and only the new shard takes rows."""
+    start = sharding.Tree((((1.0, 1.0), (1.0,)), ((2.0,),)))
+    with pytest.raises(ValueError):
+        sharding.assign(ids(spark, 10), 39)
+    for n in (4, 39, 40):
+        rows = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.assign(ids(spark, 4000), n, shape=start).collect()}
+        again = {r["doc_id"]: r["shard"] for r in sharding.assign(ids(spark, 4000), n + 1, shape=start).collect()}
+        assert all(again[i] == g and g in (s, n) for i, (s, g) in rows.items())
