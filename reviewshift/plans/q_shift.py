@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..operators import shift, splits, vocab
+from ..operators import shift, sketches, splits, vocab
 from ..session import cut_lineage
 from . import experiment as ex
 from . import sqlgen as sg
@@ -100,6 +100,26 @@ LEFT JOIN wc v ON v.source_platform = s.source_platform AND v.word = t.word
 GROUP BY ALL"""))(
     lambda spark, sf: shift.vocab_oov_rate(_master(spark, sf)))
 
+
+
+def _sketched(spark, sf):
+    """Overlap from sketches of the two halves of each platform's reviews, merged, beside the exact counts."""
+    m = _master(spark, sf)
+    halves = [sketches.vocab_sketches(m.filter(F.pmod(F.col("row_seq"), F.lit(2)) == h)) for h in (0, 1)]
+    est = sketches.overlap(sketches.merge_sketches(halves)).select("source", "target", "oov_type_rate", "rate_error")
+    exact = shift.vocab_oov_rate(m).select("source", "target", "n_types", "n_oov_types", F.col("oov_type_rate").alias("exact"))
+    return exact.join(est, ["source", "target"]).select(
+        "source", "target", "n_types", "n_oov_types",
+        (F.abs(F.col("oov_type_rate") - F.col("exact")) <= F.col("rate_error") + 2e-6).alias("within_bounds"))
+
+
+register("vocab_overlap_sketch", W(WC_CTES, """
+SELECT s.source_platform AS source, t.source_platform AS target, count(*) AS n_types,
+       count_if(v.word IS NULL) AS n_oov_types, true AS within_bounds
+FROM wc t JOIN (SELECT DISTINCT source_platform FROM wc) s ON s.source_platform <> t.source_platform
+LEFT JOIN wc v ON v.source_platform = s.source_platform AND v.word = t.word
+GROUP BY ALL"""))(_sketched)
+
 register("union_vocab", W(DIST_CTES, "SELECT DISTINCT word FROM dist"))(
     lambda spark, sf: shift.word_distribution(_master(spark, sf)).select("word").distinct())
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import label as lb
 from ..functions import lexicon as lx
 from ..functions import text as tx
-from ..operators import curate, splits
+from ..operators import curate, keywords, splits
 from ..sources import fixtures as fx
 from . import experiment as ex
 from . import sqlgen as sg
@@ -231,6 +231,22 @@ SELECT review_id, array_to_string(list_filter({_KW}, lambda k: contains(lower(re
     lambda spark, sf: _rev(spark, sf).select("review_id", F.array_join(lb.keyword_hits("review_text"), ",")
                                              .alias("hits")))
 
+
+
+def _labels_by_table(spark, sf):
+    """M1 with a lexicon table: the longer words of the benchmark."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))
+    lexicon = fx.table(spark, sf, "benchmark").select(words.alias("keyword")).distinct()
+    return keywords.label_by_table(_rev(spark, sf), lexicon, ["review_id"])
+
+
+register("label_by_table", W(R + [
+    ("kw", "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM benchmark"),
+    ("hits", "SELECT review_id, count(*) AS n FROM reviews JOIN kw ON contains(lower(review_text), keyword) GROUP BY ALL")], """
+SELECT review_id, CASE WHEN rating IN (1, 2) OR n > 0 THEN 'Negatif' WHEN rating = 3 THEN 'Netral' ELSE 'Positif' END AS label,
+       coalesce(n, 0) AS n_keywords
+FROM reviews LEFT JOIN hits USING (review_id)"""))(_labels_by_table)
+
 register("label_override_rate", W(R, f"""
 SELECT source_platform, rating, count(*) AS n, count_if(({sg.label_case()}) = 'Negatif') AS n_overridden,
        round(avg(CASE WHEN ({sg.label_case()}) = 'Negatif' THEN 1.0 ELSE 0.0 END), 6) AS override_rate
