@@ -1,8 +1,10 @@
 """WARC archives: writing with revisit records, and a salvage reader.
 
-Archives are .warc.gz files of one gzip member a record, written by Spark's text sink: its
-committer leaves whole files only, whichever executor is lost, on any store that Spark writes to.
-The sink puts a separator behind every row. The last byte of a member is the high byte of its
+Archives are files of one gzip member a record (as in .warc.gz), written by Spark's text sink under
+its own file names: its committer leaves whole files only, whichever executor is lost, on any store
+that Spark writes to. A file holds records up to a bound in bytes, or one greater record, so that
+the reader, which takes whole files, can take them. The sink puts a separator behind every row. The
+last byte of a member is the high byte of its
 size, 0 for records below 16 MB (a larger one gets an empty member behind it), so rows leave that
 byte out and the separator supplies it.
 
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import stage_path
 
-MIN_REVISIT, FILE_RECORDS = 100, 2000
+MIN_REVISIT, FILE_BYTES = 100, 32_000_000
 DATE = "1970-01-01T00:00:00Z"  # the tables have no fetch time
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
@@ -79,18 +81,29 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payloa
     return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write(pages: DataFrame, path: str, **columns) -> None:
-    """Archives of a record per row of ``pages``, at most FILE_RECORDS records a file."""
+def write(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, **columns) -> None:
+    """Archives of a record per row of ``pages``, of at most ``file_bytes`` bytes or one record each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = zip(*(b.column(i).to_pylist() for i in range(5)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([member(record(i, url, (p or "").encode(), d, r))[:-1] for i, url, p, d, r in rows],
-                          pa.binary())], names=["member"])
+        def archive() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.large_binary()).cast(pa.binary())], names=["archive"])
 
-    (plan(pages, **columns).mapInArrow(run, "member binary").select(F.col("member").cast("string").alias("value"))
-     .write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path))
+        held, size = [], 0
+        for b in batches:
+            for k in range(b.num_rows):
+                i, url, payload, digest, refers = (b.column(c)[k].as_py() for c in range(5))
+                own = member(record(i, url, (payload or "").encode(), digest, refers))[:-1]
+                if held and size + len(own) >= file_bytes:
+                    yield archive()
+                    held, size = [], 0
+                held.append(own)
+                size += len(own) + 1
+        if held:
+            yield archive()
+
+    # a row is a whole file: members with the separator between them, and the sink's behind the last
+    (plan(pages, **columns).mapInArrow(run, "archive binary").select(F.col("archive").cast("string").alias("value"))
+     .write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path))
 
 
 class Bad(Exception):
@@ -253,12 +266,13 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0), b.column(1)):
-                rows = []
+                rows, held = [], 0
                 for row in salvage(data.as_py()):
                     rows.append({"file": name.as_py(), **row} if payloads else {"file": name.as_py(), **row, "payload": None})
-                    if len(rows) >= 500:
+                    held += len(rows[-1].get("payload") or b"")
+                    if len(rows) >= 500 or held >= FILE_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, ARROW)
-                        rows = []
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, ARROW)
 
@@ -266,8 +280,10 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder and read them back without payloads."""
+    """Write ``pages`` to archives in the shared folder and read their records back without payloads. A gap in an
+    archive just written is an error, not a missing row."""
     spark = pages.sparkSession
     path = stage_path(spark, "warc")
     write(pages, path, **columns)
-    return read(spark, path, payloads=False)
+    damaged = F.raise_error(F.concat(F.lit("damaged archive: "), F.col("file"), F.lit(", "), F.coalesce("reason", F.lit(""))))
+    return read(spark, path, payloads=False).withColumn("kind", F.when(F.col("kind") == "record", F.col("kind")).otherwise(damaged))

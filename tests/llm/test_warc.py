@@ -159,3 +159,27 @@ def test_damaged_member_of_several_records(level, harm):
     # the file's bytes are covered without overlap
     places = sorted({(r["offset"], r["size"]) for r in rows})
     assert [p for p, _ in places] == [0, *(p + n for p, n in places[:-1])] and sum(n for _, n in places) == len(data) + len(warc.member(made(21)))
+
+
+def test_files_are_cut_by_bytes(spark, scratch):
+    """Pages that don't compress: files hold records up to the bound, and a greater record alone."""
+    import glob
+    import os
+    rng = random.Random(12)
+    noise = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n))
+    rows = [(i, "u", noise(3000)) for i in range(200)] + [(500, "u", noise(200_000)), (501, "u", "")]
+    path = f"{scratch}/warc-bytes"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write(df, path, file_bytes=100_000)
+    sizes = sorted(os.path.getsize(f) for f in glob.glob(f"{path}/part-*"))
+    assert len(sizes) > 10 and sizes[-2] <= 100_000 < sizes[-1]
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).collect()}
+    assert got == {i: t for i, _, t in rows}
+
+
+def test_a_damaged_own_archive_is_an_error(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    plain = warc.member
+    monkeypatch.setattr(warc, "member", lambda data: plain(data.replace(b"page 7 ", b"page 8 ")))
+    with pytest.raises(Exception, match="damaged archive"):
+        warc.round_trip(df).collect()
