@@ -19,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, texts_of
+from .common import append_columns, let, texts_of
 
 CHUNK_CHARS = 1_000_000  # texts that are scored at once (one text at least)
 #: Classes of bytes, by table: upper, lower, digit, white space, sentence marks, other marks, high.
@@ -183,11 +183,25 @@ def train(texts: list[str], labels: list[int], rounds: int = 200, rate: float =
     return LineCrf(plain.weights, plain.step, (float(a), float(b)))
 
 
+def stretch(text: Column, key: Column, max_lines: int, max_chars: int) -> Column:
+    """``text``, or of a longer one a contiguous stretch of ``max_lines`` lines, and of those ``max_chars`` characters;
+    where it begins is a hash of ``key``, so that every place of a text can be drawn."""
+    def lines(own):
+        over = F.greatest(F.size(own) - max_lines, F.lit(0))
+        return F.array_join(F.slice(own, F.pmod(F.xxhash64(key), over + 1).cast("int") + 1, max_lines), "\n")
+
+    def letters(own):
+        over = F.greatest(F.length(own) - max_chars, F.lit(0))
+        return F.substring(own, F.pmod(F.xxhash64(key, F.lit(1)), over + 1).cast("int") + 1, F.lit(max_chars))
+
+    return let(let(F.split(text, "\n"), lines), letters)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", max_docs: int = 1500, max_lines: int = 60) -> LineCrf:
-    """A model of at most ``max_docs`` ids of each label, the first by a hash of the id. Of each,
-    ``max_lines`` lines and 400 x max_lines characters reach the driver; equal texts count once.
-    The ids are drawn from ``labels`` alone, so no text is shuffled to find its label."""
+        label_col: str = "quality", max_docs: int = 1500, max_lines: int = 60, max_chars: int = 24_000) -> LineCrf:
+    """A model of at most ``max_docs`` ids of each label, the first by a hash of the id. Of each, a stretch
+    of at most ``max_lines`` lines and ``max_chars`` characters at a hashed place reaches the driver; equal
+    texts count once. The ids are drawn from ``labels`` alone, so no text is shuffled to find its label."""
     marked = (labels.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
               .filter(F.col("i").isNotNull() & F.col("y").isin(0, 1)).groupBy("i").agg(F.max("y").alias("y")))
     drawn = {r["i"]: k for k in (0, 1)
@@ -195,9 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not drawn:
         return train([], [])
     ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in drawn], marked.select("i").schema))
-    lines = F.slice(F.split(F.coalesce("text", F.lit("")), "\n"), 1, max_lines)
     rows = (docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(ids, "i", "left_semi")
-            .select("i", F.substring(F.array_join(lines, "\n"), 1, 400 * max_lines).alias("t"))
+            .select("i", stretch(F.coalesce("text", F.lit("")), F.col("i"), max_lines, max_chars).alias("t"))
             .groupBy("i").agg(F.min("t").alias("t")).collect())
     once = sorted({(r["t"], drawn[r["i"]]) for r in rows})
     return train([t for t, _ in once], [y for _, y in once])

@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reviewshift.llm import queries, quality
 from tests.conftest import SF_CHECK
@@ -57,3 +58,30 @@ def test_one_label_or_none(ys):
 def test_labels_are_optional(spark, awkward):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     assert quality.fit(awkward, labels).score([""])[0] == pytest.approx(0.5)
+
+
+def test_training_draws_from_whole_texts(spark):
+    """A stretch is contiguous, whole texts stay whole, and every place of a long text is drawn for some id."""
+    long = "\n".join(f"line {i}" for i in range(200))
+    wide = "".join(chr(0x4E00 + i) for i in range(500))
+    df = spark.range(600).select("id", F.when(F.col("id") % 3 == 0, long).when(F.col("id") % 3 == 1, wide).otherwise("a\nb\n").alias("t"))
+    rows = df.select("id", "t", quality.stretch(F.col("t"), F.col("id"), 20, 100).alias("s")).collect()
+    firsts = set()
+    for r in rows:
+        assert r["s"] in r["t"] and len(r["s"]) <= 100 and r["s"].count("\n") < 20
+        if r["id"] % 3 == 2:
+            assert r["s"] == r["t"]
+        else:
+            assert len(r["s"]) == 100
+            firsts.add((r["id"] % 3, r["t"].index(r["s"]) * 8 // len(r["t"])))
+    assert len(firsts) > 12
+
+
+def test_a_bad_end_is_learned(spark):
+    """Texts that are bad only behind their first sixty lines still teach what is bad."""
+    good = "a quiet line of ordinary words, which ends well.\n"
+    bad = "BUY!!! CLICK $$$ NOW!!! 999 >>> !!!\n"
+    docs = spark.createDataFrame([(i, good * 30 if i % 2 else good * 60 + bad * 300) for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert model.score([good * 5])[0] > 0.5 > model.score([bad * 5])[0]
