@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reviewshift.llm import decontaminate as dc
 from reviewshift.llm import queries
@@ -39,9 +40,9 @@ def random_items(n):
 
 def test_retrieval_equals_exhaustive_scoring(spark):
     items, words, rng = random_items(50)
-    for shard_postings in (10**6, 120):
-        shards = list(dc.build(items_df(spark, items), shard_postings=shard_postings))
-        assert (len(shards) > 1) == (shard_postings == 120)
+    for shard_weight in (10**6, 120):
+        shards = list(dc.build(items_df(spark, items), shard_weight=shard_weight))
+        assert (len(shards) > 1) == (shard_weight == 120)
         for threshold in (0.3, 0.6):
             query = set(rng.choices(words, k=25))
             got = {}
@@ -58,8 +59,8 @@ def test_planted_passages(spark):
     docs = [(k, f"{noise(rng.randint(0, 300))} {t.upper()} {noise(200)}") for k, (_, t) in enumerate(items)]
     docs += [(100 + k, noise(400)) for k in range(20)] + [(200, items[3][1]), (200, items[3][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for shard_postings in (10**6, 100):
-        got = {tuple(r) for r in dc.leaks(df, items_df(spark, items), shard_postings=shard_postings)
+    for shard_weight in (10**6, 400):
+        got = {tuple(r) for r in dc.leaks(df, items_df(spark, items), shard_weight=shard_weight)
                .select("doc_id", "item_id").collect()}
         want = set()
         for d, t in docs:
@@ -84,6 +85,89 @@ def test_query_finds_every_verbatim_item(spark):
     assert want and got == want
 
 
+def plain_leaks(docs, items):
+    """Every window of every item in every document, scored and verified."""
+    def weights():
+        words = {i: dc.words_of(t.lower()) for i, t in items}
+        mean, n = sum(map(len, words.values())) / len(words), len(words)
+        df = {}
+        for own in words.values():
+            for w in set(own):
+                df[w] = df.get(w, 0) + 1
+        for i, own in words.items():
+            w = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * own.count(t) * (dc.K1 + 1)
+                 / (own.count(t) + dc.K1 * (1 - dc.B + dc.B * len(own) / mean)) for t in set(own)}
+            yield i, len(own), {t: x / sum(w.values()) for t, x in w.items()}
+    impact = list(weights())
+    text = dict(items)
+    out = {}
+    for d, t in docs:
+        words = dc.words_of((t or "").lower())
+        for i, size, own in impact:
+            if sum(own[w] for w in own.keys() & set(words)) < dc.THRESHOLD - 1e-9:
+                continue
+            q, a = dc.split_item(text[i])
+            step, best = max(size // 2, 1), None
+            for at in range(0, max(len(words) - 2 * size + step, 1), step):
+                passage = words[at:at + 2 * size]
+                score = round(sum(own[w] for w in own.keys() & set(passage)), 9)
+                if score >= dc.THRESHOLD - 1e-9 and (best is None or score > best[1]):
+                    if size < dc.SHINGLE:
+                        good = f" {' '.join(q + a)} " in f" {' '.join(passage)} "
+                    else:
+                        good = dc.share([], q, a, passage, 0.8) >= 0.8 and dc.share(q, a, [], passage, 0.8) >= 0.8
+                    best = (at, score) if good else best
+            if best:
+                out[d, i] = best
+    return out
+
+
+def test_query_equals_a_scan_of_every_window(spark):
+    read = lambda n: [tuple(r)[:2] for r in spark.read.parquet(f"{SF_CHECK}/{n}.parquet").collect()]
+    want = plain_leaks(read("documents"), read("benchmark"))
+    got = {(r["doc_id"], r["item_id"]): (r["first_word"], round(r["score"], 9))
+           for r in queries.op5_decontaminate(spark, SF_CHECK).collect()}
+    assert want and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_three_shards_short_items_and_windows_of_their_own(spark):
+    """What is found, and where, does not depend on the shards; items under five words stand whole and in order."""
+    rng = random.Random(9)
+    words = [f"u{i}" for i in range(400)]
+    items = [(f"id{i}", " ".join(rng.sample(words, rng.choice([1, 2, 3, 4, 5, 9, 30, 200])))) for i in range(60)]
+    docs = []
+    for d in range(120):
+        _, own = items[d % 60]
+        own = own.split()
+        if d >= 60 and len(own) > 1:
+            own[rng.randrange(len(own))] = "other"
+        docs.append((d, " ".join([*rng.choices(words, k=rng.randint(0, 90)), *own, *rng.choices(words, k=rng.randint(0, 90))])))
+    want = plain_leaks(docs, items)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = spark.createDataFrame(items, "item_id string, text string")
+    assert len(list(dc.build(rows, shard_weight=1200))) >= 3
+    for shard_weight in (10**6, 1200):
+        got = {(r["doc_id"], r["item_id"]): r["first_word"] for r in dc.leaks(df, rows, shard_weight=shard_weight).collect()}
+        assert got == {k: at for k, (at, _) in want.items()}
+    assert {(d, f"id{d}") for d in range(60)} <= want.keys()
+
+
+def test_long_items_and_many_medium_ones(spark):
+    """An item of 20,000 words, and 10,000 of 400: postings carry no texts."""
+    rng = random.Random(10)
+    long = " ".join(f"x{i}" for i in rng.sample(range(50_000), 20_000))
+    items = spark.createDataFrame([(0, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c " + long + " d e"), (2, long[:30_000]), (3, "x1 x2")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in dc.leaks(docs, items).collect()] == [(1, 0)]
+    many = spark.range(10_000).select("id", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(
+        F.lit("y"), (F.xxhash64("id", i) % 200_000).cast("string")))).alias("text")).coalesce(1)
+    table = dc.numbered(many, "id", "text")
+    assert dc.postings(table).agg(F.sum("tf")).first()[0] >= 4_000_000
+    size = dc.postings(table).filter("item = 0").count()
+    assert size <= 800 and dc.postings(table).columns == ["item", "term", "tf", "len"]
+
+
 def test_awkward_rows(spark, awkward, empty):
     items = items_df(spark, [(1, None), (2, ""), (3, "too short"), (None, "the same text twice and then more of it"),
                              (4, "And then a second one, with more words."), (4, "And then a second one, with more words.")])
