@@ -30,23 +30,25 @@ def master(spark: SparkSession, sf_dir: str, mode: str = "multi",
     return curate.downsample_to_median(df) if mode == "multi" else df
 
 
-def cleaned(spark: SparkSession, sf_dir: str, stoplist=None, materialize: bool = True) -> DataFrame:
-    """Both cleaning paths of the master table, in the split schema (+ keys)."""
+def cleaned(spark: SparkSession, sf_dir: str, stoplist=None, materialize: bool = True, raw_text: bool = True) -> DataFrame:
+    """Both cleaning paths of the master table, in the split schema (+ keys); ``raw_text=False`` leaves the
+    uncleaned text out, which would be written once for each path."""
     m = master(spark, sf_dir, materialize=materialize)
     c = splits.split_projection(splits.dual_path_clean(m, stoplist=stoplist))
+    c = c if raw_text else c.drop("review_text")
     return cut_lineage(c) if materialize else c
 
 
-def experiment_splits(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+def experiment_splits(spark: SparkSession, sf_dir: str, materialize: bool = True, raw_text: bool = True) -> DataFrame:
     """3.2: the 12 split tables as one frame keyed by platform/condition/split,
-    checkpointed: training and every test set read it again."""
-    s = splits.stratified_split(cleaned(spark, sf_dir, materialize=materialize))
+    checkpointed: training and every test set read it again. Models need no ``raw_text``."""
+    s = splits.stratified_split(cleaned(spark, sf_dir, materialize=materialize, raw_text=raw_text))
     return cut_lineage(s) if materialize else s
 
 
 def loso_predictions(spark: SparkSession, sf_dir: str, split_df: DataFrame | None = None) -> DataFrame:
     """Every test review scored by every model of its condition."""
-    s = split_df if split_df is not None else experiment_splits(spark, sf_dir)
+    s = split_df if split_df is not None else experiment_splits(spark, sf_dir, raw_text=False)
     train = s.filter(F.col("split") == "train")
     tok_model, priors = model.materialize_model(*model.nb_train(train))
     # the truth (test platform, label id) rides through the scoring: no join back

@@ -71,7 +71,7 @@ SELECT source_platform, condition, label_id, n_c,
 FROM (SELECT source_platform, condition, {sg.LABEL_ID} AS label_id, count(*) AS n_c
       FROM splits WHERE split = 'train' GROUP BY ALL)"""))(
     lambda spark, sf: metrics.class_weights(
-        ex.experiment_splits(spark, sf).filter(F.col("split") == "train")
+        ex.experiment_splits(spark, sf, raw_text=False).filter(F.col("split") == "train")
         .select("source_platform", "condition", model._label_id().alias("label_id")),
         ["source_platform", "condition"]))
 
@@ -131,7 +131,7 @@ JOIN (SELECT * FROM loso WHERE train_src = test_src) i USING (train_src, conditi
 
 def _grid(spark, sf) -> DataFrame:
     """Every trained model x every test set of the same condition."""
-    s = ex.experiment_splits(spark, sf)
+    s = ex.experiment_splits(spark, sf, raw_text=False)
     models = s.filter(F.col("split") == "train").select(F.col("source_platform").alias("train_src"),
                                                          "condition").distinct()
     tests = s.filter(F.col("split") == "test").select(F.col("source_platform").alias("test_src"),
@@ -228,7 +228,7 @@ SELECT {sg.initcap('train_src')} AS train_src, {sg.initcap('test_src')} AS test_
 
 
 def _models(spark, sf):
-    s = ex.experiment_splits(spark, sf)
+    s = ex.experiment_splits(spark, sf, raw_text=False)
     return s, model.nb_train(s.filter(F.col("split") == "train"))
 
 
@@ -245,7 +245,7 @@ SELECT t.source_platform, t.condition, CAST(t.v AS BIGINT) AS vocab_size, CAST(t
        round(p.p0, 6) AS prior_negatif, round(p.p1, 6) AS prior_netral, round(p.p2, 6) AS prior_positif
 FROM tot t JOIN pri p ON p.train_src = t.source_platform AND p.condition = t.condition"""))(
     lambda spark, sf: (lambda mp: model.nb_token_counts(
-        ex.experiment_splits(spark, sf).filter(F.col("split") == "train"))
+        ex.experiment_splits(spark, sf, raw_text=False).filter(F.col("split") == "train"))
         .groupBy("source_platform", "condition").agg(
             F.count(F.lit(1)).alias("vocab_size"),
             *[F.sum(f"n{i}").alias(f"tokens_{n}") for i, n in enumerate(NAMES)])
@@ -284,7 +284,7 @@ register("chart_probabilities", W(SC, " UNION ALL ".join(
 
 
 def _log_loss(spark, sf):
-    s = ex.experiment_splits(spark, sf)
+    s = ex.experiment_splits(spark, sf, raw_text=False)
     train = s.filter(F.col("split") == "train")
     w = metrics.class_weights(train.select("source_platform", "condition", model._label_id().alias("label_id")),
                               ["source_platform", "condition"]).select(

@@ -159,7 +159,7 @@ UNION ALL SELECT DISTINCT source_platform, condition, '<UNK>', 1 FROM splits WHE
 
 
 def _vocab(spark, sf):
-    s = ex.experiment_splits(spark, sf)
+    s = ex.experiment_splits(spark, sf, raw_text=False)
     return s, vocab.build_vocab(s.filter(F.col("split") == "train"), GROUP)
 
 
@@ -216,7 +216,7 @@ SELECT source_platform, condition, sentiment_label, fold, count(*) AS n FROM (
                                      ORDER BY {sg.md5_key('source_seq', 'row_seq')}, source_seq, row_seq) - 1)
                  % {lx.CV_FOLDS} AS INTEGER) AS fold
   FROM splits WHERE split = 'train') GROUP BY ALL"""))(
-    lambda spark, sf: splits.kfold_assign(ex.experiment_splits(spark, sf).filter(F.col("split") == "train"),
+    lambda spark, sf: splits.kfold_assign(ex.experiment_splits(spark, sf, raw_text=False).filter(F.col("split") == "train"),
                                           GROUP)
     .groupBy(*GROUP, "sentiment_label", "fold").agg(F.count(F.lit(1)).alias("n")))
 

@@ -34,7 +34,7 @@ register("stream_ingest", q_sources.PAGES_ORACLE)(_ingest)
 
 
 def _score(spark, sf):
-    s = ex.experiment_splits(spark, sf)
+    s = ex.experiment_splits(spark, sf, raw_text=False)
     m, p = model.nb_train(s.filter(F.col("split") == "train"))
     m, p = model.materialize_model(m, p)
     out = st.stream_score(spark, _land_reviews(spark, sf), io.scratch_path(spark, "scored"),
