@@ -27,20 +27,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACE, GUARD = "▁", "\n"
 BLOCK_DOCS, BLOCK_CHARS = 30_000, 32_000_000
 SALTS, FREQUENT = 64, 16  # frequent: in over a 16th of a block's documents
-ROWS = T.StructType([
-    T.StructField("piece", T.StringType()), T.StructField("salt", T.IntegerType()),
-    T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()),
-    T.StructField("runs", T.BinaryType()), T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()),
-])
-ARROW = pa.schema([("piece", pa.string()), ("salt", pa.int32()), ("block", pa.int64()), ("places", pa.binary()),
-                   ("runs", pa.binary()), ("id", pa.int64()), ("n_bytes", pa.int64())])
 PLACE, RUN = np.dtype("<u2"), np.dtype([("times", "<u4"), ("size", "<u4")])
 
 
+def rows_type(id_type: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("piece", T.StringType()), T.StructField("salt", T.IntegerType()),
+        T.StructField("block", T.LongType()), T.StructField("places", T.BinaryType()),
+        T.StructField("runs", T.BinaryType()), T.StructField("id", id_type), T.StructField("n_bytes", T.LongType())])
+
+
 class PieceCounter:
     """Pre-tokens and piece counts of a sentencepiece model without normalisation."""
 
@@ -86,7 +87,18 @@ def salt_of(block: int) -> int:
     return ((block >> 32) * 31 + (block & 0xFFFFFFFF)) % SALTS
 
 
-def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.RecordBatch]:
+def _by_word_and_times(word: np.ndarray, place: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """The three, sorted by word, then times, then place (below ``n``): as single numbers where 63 bits hold them."""
+    base = int(times.max(initial=0)) + 1
+    if (int(word.max(initial=0)) + 1) * base * n >= 1 << 63:
+        order = np.lexsort((place, times, word))
+        return word[order], place[order], times[order]
+    key = np.sort((word * base + times) * n + place)
+    rest, place = np.divmod(key, n)
+    return rest // base, place, rest % base
+
+
+def _block(pieces: PieceCounter, docs: list[tuple], block: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows of one block: one of each document with its id and size, and one of each pre-token."""
     index: dict[str, int] = {}
     spots, sizes = [], []
@@ -99,9 +111,7 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
     number[[index[w] for w in names]] = np.arange(len(index))
     pair = number[np.concatenate(spots)] * len(docs) + np.repeat(np.arange(len(docs)), sizes)
     pair, times = np.unique(pair, return_counts=True)
-    word, place = pair // len(docs), pair % len(docs)
-    order = np.lexsort((place, times, word))
-    word, place, times = word[order], place[order], times[order]
+    word, place, times = _by_word_and_times(pair // len(docs), pair % len(docs), times, len(docs))
     n_docs = np.bincount(word, minlength=len(index))
     edge = np.flatnonzero((word[1:] != word[:-1]) | (times[1:] != times[:-1])) + 1
     first = np.concatenate(([0], edge)) if len(word) else edge
@@ -114,8 +124,8 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
     yield pa.RecordBatch.from_arrays([
         pa.array([f"{GUARD}{GUARD}{block}:{k}" for k in range(n)]), pa.array(np.zeros(n, np.int32)),
         pa.array(np.full(n, block)), _cells(np.arange(n).astype(PLACE), np.ones(n, np.int64)),
-        pa.nulls(n, pa.binary()), pa.array([d[0] for d in docs], pa.int64()),
-        pa.array([len(d[1].encode("utf-8", "surrogatepass")) for d in docs], pa.int64())], schema=ARROW)
+        pa.nulls(n, pa.binary()), pa.array([d[0] for d in docs], schema.field("id").type),
+        pa.array([len(d[1].encode("utf-8", "surrogatepass")) for d in docs], pa.int64())], schema=schema)
     for at in range(0, len(names), 100_000):
         own = slice(at, at + 100_000)
         p = slice(*np.searchsorted(word, [at, at + 100_000]))
@@ -126,7 +136,7 @@ def _block(pieces: PieceCounter, docs: list[tuple], block: int) -> Iterator[pa.R
             pa.array(np.where(n_docs[own] * FREQUENT > len(docs), salt_of(block), -1).astype(np.int32)),
             pa.array(np.full(n, block)), _cells(place[p].astype(PLACE), n_docs[own]),
             _cells(runs[r][~once[of_run[r]]], np.where(once[own], 0, n_runs[own]), once[own]),
-            pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=ARROW)
+            pa.nulls(n, schema.field("id").type), pa.nulls(n, pa.int64())], schema=schema)
 
 
 def _read(cells: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +164,18 @@ def _sums(pieces: PieceCounter, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     times[np.repeat(n_runs > 0, each)] = np.repeat(runs["times"].astype(np.int64), runs["size"])
     blocks, of_row = np.unique(block.to_numpy(), return_inverse=True)
     key = np.repeat(of_row, each) << 16 | place
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, n = key[order], (np.repeat(n_pieces, each) * times)[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     yield pa.RecordBatch.from_arrays([
         pa.array(blocks[key[first] >> 16]), pa.array((key[first] & 0xFFFF).astype(np.int32)),
-        pa.array(np.add.reduceat(n, first)), pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int64())], names=names)
+        pa.array(np.add.reduceat(n, first)), pa.nulls(len(first), b.column(5).type), pa.nulls(len(first), pa.int64())], names=names)
 
 
 def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ROWS: the documents of each block, and the frequencies of its pre-tokens."""
+    """Rows of ``rows_type``: the documents of each block, and the frequencies of its pre-tokens."""
+    rows = rows_type(docs.schema[id_col].dataType)
+    schema = to_arrow_schema(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, task = counter(path), TaskContext.get().partitionId()
@@ -173,12 +185,12 @@ def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 held.append((i, text or ""))
                 chars += len(text or "")
                 if len(held) >= BLOCK_DOCS or chars >= BLOCK_CHARS:
-                    yield from _block(pieces, held, (task << 32) + n)
+                    yield from _block(pieces, held, (task << 32) + n, schema)
                     held, chars, n = [], 0, n + 1
         if held:
-            yield from _block(pieces, held, (task << 32) + n)
+            yield from _block(pieces, held, (task << 32) + n, schema)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ROWS)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, rows)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,10 +201,13 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             if b.num_rows:
                 yield from _sums(counter(path), b)
 
+    out = T.StructType([T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()),
+                        T.StructField("n", T.LongType()), T.StructField("id", docs.schema[id_col].dataType),
+                        T.StructField("n_bytes", T.LongType())])
     # Both sides of the join would come from one exchange: it is a merge within its partitions.
     posted = (frequencies(docs, path, id_col, text_col).repartition("piece", "salt")
               .sortWithinPartitions("piece")
-              .mapInArrow(joined, "block long, place int, n long, id long, n_bytes long"))
+              .mapInArrow(joined, out))
     return (posted.groupBy("block", "place")
             .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
             .select("id", "n_bytes", "n_tokens"))

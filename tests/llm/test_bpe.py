@@ -97,6 +97,22 @@ def test_counts_of_awkward_rows(spark, awkward, empty, pieces, monkeypatch):
     assert token_counts.count_tokens(empty, PIECE).count() == 0
 
 
+def test_counts_by_ids_of_any_type(spark, pieces):
+    texts = ["one two two", "", "three"]
+    df = spark.createDataFrame([(f"id{i}", t) for i, t in enumerate(texts)], "name string, body string")
+    got = {tuple(r) for r in token_counts.count_tokens(df, PIECE, "name", "body").collect()}
+    assert got == {(f"id{i}", len(t), len(pieces.encode(t))) for i, t in enumerate(texts)}
+
+
+def test_order_by_word_and_times_beyond_63_bits():
+    rng = np.random.default_rng(1)
+    for scale in (1, 1 << 40):
+        word, place, times = rng.integers(0, 9, 200) * scale, rng.integers(0, 50, 200), rng.integers(1, 4, 200) * min(scale, 1 << 20)
+        order = np.lexsort((place, times, word))
+        got = token_counts._by_word_and_times(word, place, times, 50)
+        assert all((a == b[order]).all() for a, b in zip(got, (word, place, times)))
+
+
 def test_frequent_pre_tokens_have_a_salt_for_each_task(spark):
     df = spark.createDataFrame([(i, "the same words") for i in range(80)], "doc_id long, text string").repartition(8)
     rows = token_counts.frequencies(df, PIECE).filter("n_bytes is null").select("piece", "salt", "block").distinct().collect()
