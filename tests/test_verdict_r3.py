@@ -54,3 +54,24 @@ def test_split_and_downsampling_do_not_sort_all_texts(spark):
         sort = [line for line in _plan(out).splitlines() if "row_seq" in line and "Exchange hashpartitioning" in line]
         assert sort == [] or "_inside" in _plan(out)
         assert out.count() == 2000
+
+
+def test_scores_with_few_hot_tokens_equal_those_with_all(spark):
+    m = spark.createDataFrame(
+        [(p, c, t, [math.log(0.1 + 0.1 * i + 0.01 * j) for j in range(3)])
+         for p in ("x", "y") for c in ("b", "q") for i, t in enumerate(("aa", "bb", "cc") if p == "x" else ("bb", "dd"))],
+        "source_platform string, condition string, token string, ll array<double>")
+    p = spark.createDataFrame([("x", "b", [-1.0, -2.0, -3.0]), ("y", "b", [-2.0, -1.0, -3.0]), ("x", "q", [-1.0, -1.0, -1.0])],
+                              "source_platform string, condition string, prior array<double>")
+    docs = spark.createDataFrame([(1, "b", "aa bb aa zz", 7), (2, "b", "", 8), (3, "q", "dd cc", 9), (3, "q", "dd", 9),
+                                  (4, None, "aa", 1), (5, "b", None, 2), (6, "none", "aa", 3)],
+                                 "id long, condition string, review_text_clean string, truth long")
+    rows = lambda n, carry=(): sorted(
+        (r["id"], r["condition"], r["train_src"], tuple(r["scores"]), r["pred"])
+        for r in model.nb_score(docs, m, p, ["id"], carry=carry, hot_tokens=n).collect())
+    assert rows(0) == rows(2) == rows(100)
+    got = {(r[0], r[2]): r[3][0] for r in rows(1)}
+    assert set(got) == {(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "x"), (3, "y"), (5, "x"), (5, "y")}
+    assert got[1, "x"] == round(-1 + 2 * math.log(0.1) + math.log(0.2), 6)
+    assert got[3, "x"] == round(-2 + math.log(0.3), 6) and got[3, "y"] == round(2 * math.log(0.2), 6)
+    assert len(rows(1, ("truth",))) == 10  # the repeated row 3 carries its sums twice
