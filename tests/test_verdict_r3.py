@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewshift.functions import lexicon as lx
 from reviewshift.functions import text as tx
-from reviewshift.operators import curate, model, ranking, splits
+from reviewshift.operators import curate, features, model, ranking, splits
 
 
 def _plan(df) -> str:
@@ -75,3 +75,21 @@ def test_scores_with_few_hot_tokens_equal_those_with_all(spark):
     assert got[1, "x"] == round(-1 + 2 * math.log(0.1) + math.log(0.2), 6)
     assert got[3, "x"] == round(-2 + math.log(0.3), 6) and got[3, "y"] == round(2 * math.log(0.2), 6)
     assert len(rows(1, ("truth",))) == 10  # the repeated row 3 carries its sums twice
+
+
+def test_term_counts_with_repeated_documents_and_few_features(spark):
+    df = spark.createDataFrame([("a", 1, "x y x"), ("a", 1, "x"), ("a", 2, "y z"), ("b", 1, None), ("b", 2, "x y"), (None, 1, "q q")],
+                               "k string, d long, review_text_clean string")
+    stats = {(r.k, r.term): (r.ttf, r.df) for r in features.term_stats(df, ["k"], ["d"]).collect()}
+    assert stats == {("a", "x"): (3, 1), ("a", "y"): (2, 2), ("a", "z"): (1, 1), ("a", "x y"): (1, 1), ("a", "y x"): (1, 1),
+                     ("a", "y z"): (1, 1), ("b", "x"): (1, 1), ("b", "y"): (1, 1), ("b", "x y"): (1, 1),
+                     (None, "q"): (2, 1), (None, "q q"): (1, 1)}
+    vocab = features.tfidf_fit(df, ["k"], ["d"], max_features=3)
+    got = {(r["k"], r["term"]): r["index"] for r in vocab.collect()}
+    assert got == {("a", "x"): 0, ("a", "y"): 1, ("a", "x y"): 2, ("b", "x"): 0, ("b", "x y"): 1, ("b", "y"): 2}
+    rows = features.tfidf_transform(df, vocab, ["k"], ["d"])
+    assert {(r.k, r.d) for r in rows.collect()} == {("a", 1), ("a", 2), ("b", 2)}
+    for r in rows.groupBy("k", "d").agg(F.sum(F.col("tfidf") ** 2).alias("n")).collect():
+        assert abs(r.n - 1) < 1e-9
+    # counted in place: no shuffle is dealt by (document, term)
+    assert "hashpartitioning(k" not in _plan(rows).replace(" ", "")
