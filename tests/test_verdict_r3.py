@@ -6,9 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from reviewshift.functions import lexicon as lx
 from reviewshift.functions import text as tx
 from reviewshift.operators import curate, features, model, ranking, splits
+from reviewshift.plans import catalog
+from reviewshift.plans import experiment as ex
 
 
 def _plan(df) -> str:
@@ -93,3 +96,11 @@ def test_term_counts_with_repeated_documents_and_few_features(spark):
         assert abs(r.n - 1) < 1e-9
     # counted in place: no shuffle is dealt by (document, term)
     assert "hashpartitioning(k" not in _plan(rows).replace(" ", "")
+
+
+def test_train_grid_makes_the_splits_once(spark, monkeypatch):
+    made = []
+    splits_of = ex.experiment_splits
+    monkeypatch.setattr(ex, "experiment_splits", lambda *a, **k: made.append(1) or splits_of(*a, **k))
+    assert catalog.queries()["train_grid"](spark, SF_SMALL).count() == 4
+    assert len(made) == 1
