@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import metrics, model
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import experiment as ex
 from . import sqlgen as sg
@@ -80,7 +81,8 @@ FROM (SELECT source_platform, condition, {sg.LABEL_ID} AS label_id, count(*) AS
 
 def _pairs(loso: DataFrame) -> DataFrame:
     """Baseline vs proposed side by side per (train, test); a pair with
-    a missing side is dropped (inner self-join)."""
+    a missing side is dropped (inner self-join of a stage output: scoring runs once)."""
+    loso = cut_lineage(loso, "loso", spread_out=False)
     b = loso.filter(F.col("condition") == "Baseline").select(
         "train_src", "test_src", F.col("accuracy").alias("acc_baseline"), F.col("f1_macro").alias("f1_baseline"))
     p = loso.filter(F.col("condition") == "Proposed").select(
@@ -109,6 +111,7 @@ FROM pairs"""))(
 
 
 def _degradation(loso: DataFrame) -> DataFrame:
+    loso = cut_lineage(loso, "loso", spread_out=False)
     ind = loso.filter(F.col("train_src") == F.col("test_src")).select(
         "train_src", "condition", F.col("f1_macro").alias("f1_in_domain"))
     cross = loso.filter(F.col("train_src") != F.col("test_src"))
