@@ -20,7 +20,7 @@ def _land_reviews(spark, sf, files: int = 5) -> str:
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_interval(secs=F.col("review_id")))
         .alias("event_time"))
     path = io.scratch_path(spark, "landing-reviews")
-    r.repartition(files, "review_id").write.json(path)
+    r.coalesce(files).write.json(path)
     return path
 
 

@@ -56,7 +56,10 @@ def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str,
                  tok_model: DataFrame, priors: DataFrame, files_per_trigger: int = 2) -> DataFrame:
     """ST2: score arriving reviews with every model (stream-static join in
     ``foreachBatch``). Each micro-batch overwrites its own ``batch_id=``
-    folder, so a retried batch does not write twice."""
+    folder, so a retried batch does not write twice. The model is prepared and dealt once for all batches; a batch is
+    dealt by review while its texts are raw, and the sums come to the cleaned ones."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scorer = model.Scorer(tok_model, priors).keep(n)
     src = (spark.readStream.schema(REVIEW_EVENT).option("maxFilesPerTrigger", files_per_trigger)
            .json(landing))
 
@@ -64,14 +67,17 @@ def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str,
         # the micro-batch's cleaned text is read twice by the scoring: keep it
         # for the duration of this batch only (a lost copy is recomputed from
         # the replayable source offsets)
-        cleaned = model.fallback_clean_paths(batch, ["review_id"]).persist()
+        cleaned = model.fallback_clean_paths(batch.select("review_id", "review_text").repartition(n, "review_id"), ["review_id"]).persist()
         try:
-            scored = model.score_cleaned(cleaned, tok_model, priors, ["review_id"])
-            scored.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            scored = model.sentiments(scorer.score(cleaned, ["review_id"], carry=("review_text_clean",), dealt=n), ["review_id"])
+            scored.write.option("compression", "zstd").mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         finally:
             cleaned.unpersist()
 
-    _run(src.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint))
+    try:
+        _run(src.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint))
+    finally:
+        scorer.release()
     return spark.read.parquet(out)
 
 
