@@ -88,9 +88,11 @@ def link(prints: DataFrame, max_distance: int = 2, bucket: int = 64) -> DataFram
     probes = (segments.select("fp", "seg", "val", F.explode(_longs(_flips(SEGMENT_BITS, radius))).alias("mask"))
               .filter(F.col("val").bitwiseAND(F.col("mask")) == 0)
               .select("fp", "seg", F.col("val").bitwiseOR(F.col("mask")).alias("val")))
-    sized = segments.join(entries, ["seg", "val"])
+    # the planner sizes an exploded table like the rows it comes from (probes has 33 a segment), and so would collect
+    # it for a broadcast: these joins are merged by a hint
+    sized = segments.join(entries.hint("merge"), ["seg", "val"])
     cold = sized.filter(F.col("n") <= bucket).select("seg", "val", F.col("fp").alias("other"))
-    near = (probes.join(cold, ["seg", "val"]).filter("fp <> other")
+    near = (probes.join(cold.hint("merge"), ["seg", "val"]).filter("fp <> other")
             .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= max_distance)
             .select(F.greatest("fp", "other").alias("a"), F.least("fp", "other").alias("b")))
     hot = entries.filter(F.col("n") > bucket).select("seg", "val")
@@ -138,7 +140,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     labels = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = rooted.select("fp", "root").join(labels, "root")
-    return prints.join(by_print, "fp").select("id", *names, "fp", "root", "component_id")
+    # every fingerprint is met; a left join never collects the side with a row a document
+    return prints.join(by_print, "fp", "left").select("id", *names, "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
